@@ -1,11 +1,12 @@
-"""All queries of the corpus operators, each with the SQL that DuckDB answers alike."""
+"""All queries of the corpus operators, each with the SQL that DuckDB answers alike where there is such SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from quillmill.plans.views import Tables
 from quillmill.runtime import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,20 +15,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-class Tables:
-    """The tables of one directory, read lazily by name."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
 def query(name: str, sql: str | None = None):
-    """Register f(tables) as a query, with its SQL twin where there is one."""
+    """Register f(tables) as a query, with its SQL twin."""
 
     def deco(f):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is defined twice")
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
             return f(Tables(spark, sf_dir))
@@ -41,20 +35,7 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-@query("a05_spend_by_purpose", """
-    SELECT coalesce(purpose, '(unknown)') AS purpose, count(*) AS calls,
-           CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens,
-           CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS completion_tokens,
-           round(coalesce(sum(cost_usd), 0), 4) AS cost_usd,
-           count_if(cache_hit) AS cache_hits
-    FROM (SELECT DISTINCT ON (id) * FROM llm_call ORDER BY id, loaded_at DESC) GROUP BY 1
-""")
-def spend_by_purpose(t: Tables) -> DataFrame:
-    calls = t.llm_call.dropDuplicates(["id"])
-    return calls.groupBy(F.coalesce("purpose", F.lit("(unknown)")).alias("purpose")).agg(
-        F.count("*").alias("calls"),
-        F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
-        F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"),
-        F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 4).alias("cost_usd"),
-        F.count_if("cache_hit").alias("cache_hits"),
+def load() -> None:
+    from quillmill.plans import (  # noqa: F401
+        aggregate_queries, dml_queries, match_queries, ordered_queries, pipeline_queries, read_queries, scalar_queries, source_queries, stream_queries,
     )
