@@ -22,6 +22,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _session_folder(spark: SparkSession) -> str:
+    """A folder of this session among the checkpoints; Hadoop deletes it when the driver ends."""
+    sc = spark.sparkContext
+    held = getattr(sc, "_quillmill_folder", None)
+    if held is None:
+        held = f"{checkpoint_dir(spark)}/quillmill-{uuid.uuid4().hex}"
+        where = sc._jvm.org.apache.hadoop.fs.Path(held)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+        sc._quillmill_folder = held
+    return held
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there; survives the loss of executors.
 
@@ -29,17 +41,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     columnar and compressed, and later scans prune columns.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/q-{uuid.uuid4().hex}"
+    path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def latest_by_id(df: DataFrame, key: str = "id", order: str = "loaded_at") -> DataFrame:
-    """One row per key: the one loaded last. Ties are equal in content, so any of them will do."""
+    """One row per key: the one loaded last (null times come first). Ties are equal in content, so any of them will do."""
     if order not in df.columns:
         return df.dropDuplicates([key])
     rest = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+    picked = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order)).alias("_row"))
     return picked.select(key, "_row.*").select(*df.columns)
 
 
