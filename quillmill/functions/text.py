@@ -65,9 +65,9 @@ def expand_entities(c: Column) -> Column:
 
 
 def restore_outer_whitespace(source: Column, target: Column) -> Column:
-    """White space at the ends of the source goes to the target where that has none; blank texts stay."""
+    """White space at the ends of the source goes to the target where that has none; empty texts stay."""
     lead, tail = F.regexp_extract(source, f"^({SPACE}*)", 1), F.regexp_extract(source, f"({SPACE}*)$", 1)
-    blank = (strip(source) == "") | (strip(target) == "")
+    blank = (source == "") | (target == "")
     head = F.when(target.rlike(f"^{SPACE}"), F.lit("")).otherwise(lead)
     end = F.when(target.rlike(f"{SPACE}$"), F.lit("")).otherwise(tail)
     return F.when(blank | source.isNull() | target.isNull(), target).otherwise(F.concat(head, target, end))

@@ -26,14 +26,16 @@ def ledger_by(calls: DataFrame, *keys: str) -> DataFrame:
 
 
 def activity(calls: DataFrame) -> DataFrame:
-    """By model, by purpose and in total, in one pass over the ledger."""
+    """By model, by purpose and in total, in one pass over the ledger; the total is there without any call."""
     named = calls.withColumn("model", F.coalesce("model", F.lit("(unknown)"))).withColumn("purpose", F.coalesce("purpose", F.lit("(unknown)")))
     out = named.groupingSets([["model"], ["purpose"], []], "model", "purpose").agg(F.grouping_id().alias("_g"), *LEDGER())
     kind = F.when(F.col("_g") == 1, "model").when(F.col("_g") == 2, "purpose").otherwise("total")
-    return out.select(
-        kind.alias("kind"), F.coalesce("model", "purpose", F.lit("all")).alias("key"), "calls", "prompt_tokens", "completion_tokens", "cost_usd", "cache_hits",
-        ratio(F.col("cache_hits"), F.col("calls")).alias("hit_rate"),
-    )
+    sums = ["calls", "prompt_tokens", "completion_tokens", "cost_usd", "cache_hits"]
+    rows = out.select(kind.alias("kind"), F.coalesce("model", "purpose", F.lit("all")).alias("key"), *sums)
+    # grouping sets over no rows give no total, so a row of zeros stands by
+    zeros = calls.sparkSession.range(1).select(F.lit("total").alias("kind"), F.lit("all").alias("key"), *[F.lit(0).cast(out.schema[c].dataType).alias(c) for c in sums])
+    rows = rows.unionByName(zeros).groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in sums])
+    return rows.withColumn("hit_rate", ratio(F.col("cache_hits"), F.col("calls")))
 
 
 def spend_shares(calls: DataFrame, key: str) -> DataFrame:

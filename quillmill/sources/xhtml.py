@@ -97,11 +97,19 @@ def parse(markup: str) -> Node:
     return b.root
 
 
+def _skipped(n: Node | None) -> bool:
+    while n is not None:
+        if n.tag in SKIPPED:
+            return True
+        n = n.parent
+    return False
+
+
 def wrap_orphans(root: Node) -> int:
     """Inline runs beside blocks of one parent go into a div of their own; a second run changes nothing."""
     made = 0
     for n in list(root.walk()):
-        if n.tag not in BLOCKS and n.tag != "body":
+        if n.tag not in BLOCKS or _skipped(n):
             continue
         is_block = [isinstance(c, Node) and c.tag in BLOCKS for c in n.children]
         if not any(is_block):
@@ -111,7 +119,7 @@ def wrap_orphans(root: Node) -> int:
         def flush():
             nonlocal made
             if any(c.strip() if isinstance(c, str) else c.entity or c.text().strip() for c in run):
-                w = Node("div", parent=n)
+                w = Node("div", {"class": n.attrs["class"]} if "class" in n.attrs else {}, parent=n)
                 for c in run:
                     w.add(c)
                 out.append(w)
