@@ -17,7 +17,8 @@ import base64
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -100,27 +101,36 @@ def decode(ids, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> str:
     return encoder(name, folder).decode_bytes(list(ids)).decode("utf-8")
 
 
+def _ids_of(texts: pa.Array, enc) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, ids) of a column of texts, flat, so that no list objects pile up."""
+    offsets, flat = [0], []
+    for t in texts:
+        flat.append(np.asarray(encode(t.as_py(), enc), dtype=np.int32))
+        offsets.append(offsets[-1] + len(flat[-1]))
+    return np.asarray(offsets, dtype=np.int32), np.concatenate(flat) if flat else np.empty(0, dtype=np.int32)
+
+
 def token_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
-    """(doc_id, ids), a row for each row; a narrow pass, so no row moves."""
+    """(doc_id, ids), a row for each row; a narrow pass, so no row moves. Ids of documents pass through as they are."""
     kind = documents.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name, folder).encode_ordinary
-        for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "ids": [encode(t, enc) for t in pdf[text_col]]})
+        for batch in batches:
+            offsets, ids = _ids_of(batch.column(1), enc)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[id_col, "ids"])
 
-    return documents.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, ids array<int>")
+    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, keep: list[str], text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """The kept columns and `tokens`; the ids themselves never leave the worker."""
     fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name, folder).encode_ordinary
-        for pdf in batches:
-            out = pdf[keep].copy()
-            out["tokens"] = [len(encode(t, enc)) for t in pdf["_text"]]
-            yield out
+        for batch in batches:
+            counts = pa.array([len(encode(t.as_py(), enc)) for t in batch.column(len(keep))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], counts], names=[*keep, "tokens"])
 
-    return documents.select(*keep, F.col(text_col).alias("_text")).mapInPandas(run, f"{fields}, tokens long")
+    return documents.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{fields}, tokens long")

@@ -75,7 +75,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     got = mixed.groupBy("source").agg(
         F.count("*").alias("documents"), F.max("copies").alias("most_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"),
     )
-    out = targets.join(got, "source", "left").select(
+    out = targets.select("source", "target_share", "max_repeats").join(got, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
     )

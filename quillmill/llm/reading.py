@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillmill.llm import textnorm
@@ -147,10 +148,14 @@ def reading_levels(documents: DataFrame, reading_label: DataFrame) -> DataFrame:
     """(doc_id, level, posterior), a row for each document; a narrow pass with the fitted model."""
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, reading_label))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for pdf in batches:
-            got = [model.level(tokens(t)) if t is not None else (None, 0.0) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "level": pd.array([g[0] for g in got], dtype="Int32"), "posterior": [g[1] for g in got]})
+        for batch in batches:
+            texts = (t.as_py() for t in batch.column(1))
+            got = [model.level(tokens(t)) if t is not None else (None, 0.0) for t in texts]
+            out = [batch.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "level", "posterior"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, level int, posterior double")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, level int, posterior double")

@@ -60,6 +60,7 @@ _CJK = re.compile(r"[ぁ-ヿ㐀-鿿々]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？;|])\s*|\n")
 _STOPS = re.compile(r"[.!?。！？]+")
 _TAIL = re.compile(r"(?:\[\[/?T\d+\]\]|\s)+$")
+_BROKEN_MARK = re.compile(r"\[\[?/?(?:T\d*)?\]?$")
 _TERMINAL, _CLOSERS = ".!?。！？…", "\"'”’」』»)）]"
 
 
@@ -70,6 +71,8 @@ def _ending(text: str) -> tuple[int, str]:
         return 3, ""
     if t.endswith(("...", "…")):
         return 4, "…"
+    if "[" in t[-8:] and _BROKEN_MARK.search(t):
+        return 0, t[-1]
     c = t[-1]
     if c in _TERMINAL:
         return 3, c
