@@ -256,10 +256,24 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 FORMS = "project_id string, id string, form string, strength string"
 
 
-def parse_entries(entries: DataFrame) -> DataFrame:
+def distinct_spellings(entries: DataFrame) -> DataFrame:
+    """(project_id, type, source_term, target_term, id, entry): each entry with the smallest id of its exact copies.
+
+    Copies are told apart no further: the rest of the work sees one row for each way of writing, however often it occurs.
+    """
     latest = latest_by_id(entries.select("id", "project_id", "type", "source_term", "target_term", *[c for c in ("loaded_at",) if c in entries.columns]))
     kept = latest.where(F.col("type").isin(*ENTITY_TYPES) & F.col("project_id").isNotNull() & F.col("id").isNotNull())
-    return kept.select("project_id", "id", "type", "source_term", "target_term").mapInPandas(_parsed, PARSED)
+    spelling = ["project_id", "type", "source_term", "target_term"]
+    copied = kept.select(F.col("id").alias("entry"), F.xxhash64(*spelling).alias("_h"), *spelling)
+    firsts = copied.groupBy("_h", *spelling).agg(F.min("entry").alias("id")).select("id", F.col("_h").alias("_g"), *[F.col(c).alias(f"_{c}") for c in spelling])
+    same = F.col("_h") == F.col("_g")
+    for c in spelling:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return copied.join(firsts, same).select(*spelling, "id", "entry")
+
+
+def parse_spellings(spellings: DataFrame) -> DataFrame:
+    return spellings.where("id = entry").select("project_id", "id", "type", "source_term", "target_term").mapInPandas(_parsed, PARSED)
 
 
 def _with_nicknames(parsed: DataFrame, nickname: DataFrame) -> DataFrame:
@@ -283,7 +297,8 @@ def _with_nicknames(parsed: DataFrame, nickname: DataFrame) -> DataFrame:
 
 def link_entries(entries: DataFrame, nickname: DataFrame) -> DataFrame:
     """entries -> (project_id, id, kind, root): entries with the same root name the same entity."""
-    parsed = cut_lineage(_with_nicknames(cut_lineage(parse_entries(entries)), nickname))
+    spellings = cut_lineage(distinct_spellings(entries))
+    parsed = cut_lineage(_with_nicknames(cut_lineage(parse_spellings(spellings)), nickname))
     forms = cut_lineage(parsed.mapInPandas(_forms, FORMS))
     strong = forms.where("strength = 'strong'").select("project_id", "form", "id")
     reps = strong.groupBy("project_id", "form").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
@@ -309,7 +324,8 @@ def link_entries(entries: DataFrame, nickname: DataFrame) -> DataFrame:
     )
     again = first.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(to_owner).unionByName(to_lonely).distinct()
     final = components(parsed, again)
-    return parsed.select("project_id", "id", "kind").join(final, "id")
+    named = parsed.select("project_id", "id", "kind").join(final, "id")
+    return spellings.select("id", "entry").join(named, "id").select("project_id", F.col("entry").alias("id"), "kind", "root")
 
 
 #: Entries of one entity that are paired in one block.
