@@ -69,9 +69,10 @@ def translate(segments: DataFrame, ledger: DataFrame, model_name: str, model: Mo
 def glossary_hash(entries: DataFrame) -> DataFrame:
     """One hash per project over its terms in order; ids and times do not count."""
     row = F.struct(F.coalesce("source_term", F.lit("")).alias("s"), F.col("target_term").alias("t"), F.col("type").alias("y"), F.col("status").alias("u"), F.coalesce("gender", F.lit("")).alias("g"), "source_known")
-    # entries are hashed before they are gathered, so a project's array holds one short hash per entry
-    h = entries.select("project_id", F.sha2(F.to_json(row), 256).alias("h"))
-    return h.groupBy("project_id").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256), 1, 32).alias("glossary_hash"))
+    # a tree of two levels: hashes of entries are gathered by their first four digits, then the hashes of those groups
+    h = entries.select("project_id", F.sha2(F.to_json(row), 256).alias("h")).withColumn("g", F.substring("h", 1, 4))
+    join = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    return h.groupBy("project_id", "g").agg(F.concat(F.first("g"), join("h")).alias("h")).groupBy("project_id").agg(F.substring(join("h"), 1, 32).alias("glossary_hash"))
 
 
 def chunk_prompts(chunks: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillmill.functions import terms
+from quillmill.operators.reads import first_per
 
 
 def event(df: DataFrame, project: Column, ts: Column | int, kind: Column | str, payload: Column) -> DataFrame:
@@ -46,10 +47,10 @@ def upsert_proposals(entries: DataFrame, proposals: DataFrame) -> DataFrame:
     key, else makes one entry per canonical key. A generic type is raised and a target that mirrors its source
     is filled in, both only while the entry is proposed.
     """
-    first = lambda keys: W.partitionBy("project_id", *keys).orderBy("created_at", "id")
     known = entries.where("source_term IS NOT NULL").withColumn("key", terms.canonical_form(F.col("source_term")))
-    exact = known.withColumn("_n", F.row_number().over(first(["source_term"]))).where("_n = 1").select("project_id", "source_term", F.struct("id", "type", "status", "target_term", F.col("source_term").alias("src")).alias("x"))
-    alike = known.where("key <> ''").withColumn("_n", F.row_number().over(first(["key"]))).where("_n = 1").select("project_id", "key", F.struct("id", "type", "status", "target_term", F.col("source_term").alias("src")).alias("y"))
+    known = known.select("project_id", "source_term", "key", "created_at", "id", "type", "status", "target_term")
+    exact = first_per(known, ["project_id", "source_term"], F.col("created_at"), F.col("id")).select("project_id", "source_term", F.struct("id", "type", "status", "target_term", F.col("source_term").alias("src")).alias("x"))
+    alike = first_per(known.where("key <> ''"), ["project_id", "key"], F.col("created_at"), F.col("id")).select("project_id", "key", F.struct("id", "type", "status", "target_term", F.col("source_term").alias("src")).alias("y"))
     p = proposals.select("project_id", "source_term", F.coalesce("type", F.lit("term")).alias("p_type"), F.col("target_term").alias("p_target")).withColumn("key", terms.canonical_form(F.col("source_term")))
     best = p.groupBy("project_id", "key").agg(F.min(F.struct(F.when(F.col("p_type") == "term", 1).otherwise(0), "source_term", "p_type", "p_target")).alias("m")).select("project_id", "key", "m.source_term", "m.p_type", "m.p_target")
     j = best.join(exact, ["project_id", "source_term"], "left").join(alike, ["project_id", "key"], "left").withColumn("e", F.coalesce("x", "y"))

@@ -96,10 +96,13 @@ def running_cut(df: DataFrame, key: str, order: list[str], amount: Column, cap:
     return df.withColumn("_t", F.sum(amount).over(w)).where(F.col("_t") > cap).groupBy(key).agg(F.min(F.struct(*order, F.col("_t").alias("total"))).alias("m")).select(key, "m.*")
 
 
-def spread_sample(df: DataFrame, key: str, order: list[str], head: int, middle: int, tail: int) -> DataFrame:
-    """The first, some evenly spaced middle and the last rows of each key; all rows where there are no more."""
-    w = W.partitionBy(key)
-    n = df.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+def spread_sample(df: DataFrame, key: str, position: str, head: int, middle: int, tail: int) -> DataFrame:
+    """The first, some evenly spaced middle and the last rows of each key; all rows where there are no more.
+
+    `position` counts the rows of a key from 1; the size of a key is an aggregate, so no key is sorted.
+    """
+    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
+    n = df.withColumn("_k", F.col(position) - 1).drop(position).join(sizes, key)
     zone = F.col("_n") - head - tail
     step = F.greatest(F.lit(1), F.floor(zone / (middle + 1)))
     at = F.col("_k") - head

@@ -36,8 +36,27 @@ def with_aliases(entries: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row per key in a total order."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row per key in a total ascending order, nulls first.
+
+    An aggregate, not a window: rows of a hot key are combined before they are shuffled.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return picked.select(*keys, "_r.*").select(*df.columns)
+
+
+def book_positions(segments: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Segments with `spine_idx` and their place in the book, from 1.
+
+    The place is the number of segments in the chapters before plus the place within the chapter, so a book
+    that holds a large part of all rows is numbered by as many tasks as it has chapters.
+    """
+    inside = segments.withColumn("_in", F.row_number().over(W.partitionBy("chapter_id").orderBy("idx", "id")))
+    sizes = segments.groupBy("chapter_id").agg(F.count("*").alias("_size"))
+    c = chapters.select(F.col("id").alias("chapter_id"), F.col("project_id").alias("_book"), "spine_idx").join(sizes, "chapter_id")
+    before = W.partitionBy("_book").orderBy("spine_idx", "chapter_id").rowsBetween(W.unboundedPreceding, -1)
+    offsets = c.select("chapter_id", "spine_idx", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return inside.join(offsets, "chapter_id").withColumn("position", (F.col("_before") + F.col("_in")).cast("int")).drop("_before", "_in")
 
 
 def chapter_range(chapters: DataFrame, expression: str) -> DataFrame:

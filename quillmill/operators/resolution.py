@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillmill.functions import terms
 from quillmill.operators.graph import components
+from quillmill.operators.reads import first_per
 from quillmill.runtime import cut_lineage
 
 DISTANCE, PREFIX = 2, 3
@@ -67,21 +68,21 @@ def winner_rank() -> Column:
 
 
 def near_duplicates(entries: DataFrame) -> DataFrame:
-    """(project_id, root, id, rank) of every entry whose group has more than one; rank 1 wins."""
+    """(project_id, root, id, winner) of every entry whose group has more than one."""
     keyed = cut_lineage(canonical_keys(entries).select("project_id", "id", "status", "type", "key"))
     keys = keyed.select(F.col("project_id").alias("scope"), "key").distinct()
     node = lambda s, k: F.concat_ws("\u0001", s, k)
     edges = fuzzy_edges(keys).select(node("scope", "a").alias("a"), node("scope", "b").alias("b"))
     roots = components(keys.select(node("scope", "key").alias("id")), edges).withColumnRenamed("id", "node")
     labelled = keyed.withColumn("node", node("project_id", "key")).join(roots, "node").withColumn("root", F.element_at(F.split("root", "\u0001"), 2))
-    sized = labelled.withColumn("n", F.count("*").over(W.partitionBy("project_id", "root"))).where("n > 1")
-    return sized.withColumn("rank", F.row_number().over(W.partitionBy("project_id", "root").orderBy(winner_rank()))).select("project_id", "root", "id", "rank")
+    labelled = cut_lineage(labelled.select("project_id", "root", "id", "status", "type"))
+    groups = labelled.groupBy("project_id", "root").agg(F.min_by("id", winner_rank()).alias("winner"), F.count("*").alias("n")).where("n > 1")
+    return labelled.select("project_id", "root", "id").join(groups, ["project_id", "root"]).select("project_id", "root", "id", "winner")
 
 
 def merge(entries: DataFrame, aliases: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries left, aliases left): losers go, their spellings and aliases move to the winner, less its own terms."""
-    winners = groups.where("rank = 1").select("project_id", "root", F.col("id").alias("winner"))
-    moved = groups.where("rank > 1").join(winners, ["project_id", "root"]).select(F.col("id").alias("entry_id"), "winner")
+    moved = groups.where("id <> winner").select(F.col("id").alias("entry_id"), "winner")
     left = entries.join(moved.select(F.col("entry_id").alias("id")), "id", "left_anti")
     spelled = entries.select(F.col("id").alias("entry_id"), F.explode(F.array(
         F.struct(F.lit("source").alias("side"), F.col("source_term").alias("text")), F.struct(F.lit("target").alias("side"), F.col("target_term").alias("text")))).alias("x")).select("entry_id", "x.*")
@@ -93,5 +94,5 @@ def merge(entries: DataFrame, aliases: DataFrame, groups: DataFrame) -> tuple[Da
 
 def canonical_lookup(proposed: DataFrame, entries: DataFrame) -> DataFrame:
     """For each proposal the entry of its project with the same canonical key, first by (source_term, id), or null."""
-    held = canonical_keys(entries).withColumn("_n", F.row_number().over(W.partitionBy("project_id", "key").orderBy(F.col("source_term").asc_nulls_first(), "id"))).where("_n = 1")
+    held = first_per(canonical_keys(entries).select("project_id", "key", "source_term", "id"), ["project_id", "key"], F.col("source_term"), F.col("id"))
     return canonical_keys(proposed).select("project_id", "id", "key").join(held.select("project_id", "key", F.col("id").alias("held_id")), ["project_id", "key"], "left")

@@ -14,9 +14,14 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(part / whole, 6))
 
 
+def money(c: Column, digits: int = 4) -> Column:
+    """A sum of money, added as decimals so that the order of rows cannot show; 0 over nothing."""
+    return F.round(F.coalesce(F.sum(c.cast("decimal(18,8)")), F.lit(0).cast("decimal(28,8)")), digits).cast("double")
+
+
 LEDGER = lambda: [
     F.count("*").alias("calls"), zero(F.sum("prompt_tokens")).alias("prompt_tokens"), zero(F.sum("completion_tokens")).alias("completion_tokens"),
-    F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 4).alias("cost_usd"), F.count_if("cache_hit").alias("cache_hits"),
+    money(F.col("cost_usd")).alias("cost_usd"), F.count_if("cache_hit").alias("cache_hits"),
 ]
 
 
@@ -40,8 +45,8 @@ def activity(calls: DataFrame) -> DataFrame:
 
 def spend_shares(calls: DataFrame, key: str) -> DataFrame:
     """Share of all spend per key; the window runs over the few rows of the rollup."""
-    by = calls.groupBy(key).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost"))
-    return by.select(key, F.round("cost", 4).alias("cost_usd"), F.round(F.when(F.sum("cost").over(W.partitionBy()) == 0, 0.0).otherwise(100 * F.col("cost") / F.sum("cost").over(W.partitionBy())), 3).alias("percent"))
+    by = calls.groupBy(key).agg(money(F.col("cost_usd")).alias("cost"))
+    return by.select(key, F.col("cost").alias("cost_usd"), F.round(F.when(F.sum("cost").over(W.partitionBy()) == 0, 0.0).otherwise(100 * F.col("cost") / F.sum("cost").over(W.partitionBy())), 3).alias("percent"))
 
 
 def project_stats(projects: DataFrame, segments: DataFrame, calls: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -87,13 +92,17 @@ def shape_summary(shapes: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(entries: DataFrame) -> DataFrame:
-    """Source terms that a project holds more than once, members by rank of status, type and age."""
+    """Entries whose source term a project holds more than once, with the winner by status, type and age.
+
+    The winner is a minimum, combined before the shuffle; no group is gathered.
+    """
     rank = F.struct(
         F.when(F.col("status") == "locked", 0).when(F.col("status") == "confirmed", 1).when(F.col("status") == "proposed", 2).otherwise(99).alias("s"),
         F.when(F.col("type") == "term", 1).otherwise(0).alias("t"), F.col("created_at").alias("c"), F.col("id").alias("id"),
     )
-    by = entries.where("source_term IS NOT NULL").groupBy("project_id", "source_term").agg(F.array_sort(F.collect_list(rank)).alias("m"))
-    return by.where("size(m) > 1").select("project_id", "source_term", F.transform("m", lambda x: x["id"]).alias("members"))
+    known = entries.where("source_term IS NOT NULL")
+    by = known.groupBy("project_id", "source_term").agg(F.min(rank).alias("m"), F.count("*").alias("members")).where("members > 1")
+    return known.select("project_id", "source_term", "id").join(by, ["project_id", "source_term"]).select("project_id", "source_term", "id", F.col("m.id").alias("winner"), "members")
 
 
 def first_non_empty(df: DataFrame, key: str, order: str, *values: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from quillmill.operators.reads import first_per
 
 
 def inbox(segments: DataFrame, entries: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -16,8 +18,8 @@ def attached_view(own: DataFrame, attached: DataFrame, *priority: Column) -> Dat
     triple = ["_s", "target_term", "type"]
     mark = lambda df: df.withColumn("_s", F.coalesce("source_term", F.lit("")))
     fresh = mark(attached).join(mark(own).select(*triple).distinct(), triple, "left_anti")
-    once = fresh.withColumn("_n", F.row_number().over(W.partitionBy(*triple).orderBy(*priority))).where("_n = 1")
-    return own.withColumn("origin", F.lit("own")).unionByName(once.drop("_s", "_n").withColumn("origin", F.lit("attached")), allowMissingColumns=True)
+    once = first_per(fresh, triple, *priority)
+    return own.withColumn("origin", F.lit("own")).unionByName(once.drop("_s").withColumn("origin", F.lit("attached")), allowMissingColumns=True)
 
 
 def first_seen(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -28,5 +30,6 @@ def first_seen(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
 
 def newest(df: DataFrame, key: str, order: str, cap: int) -> DataFrame:
     """The newest row per key, newest first, at most `cap`."""
-    once = df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    rest = [c for c in df.columns if c != key]
+    once = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order)).alias("_r")).select(key, "_r.*").select(*df.columns)
     return once.orderBy(F.desc(order), key).limit(cap)

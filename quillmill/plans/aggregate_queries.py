@@ -10,7 +10,7 @@ from quillmill.plans.registry import query
 from quillmill.plans.views import Tables, sql
 
 _LEDGER = """count(*) AS calls, CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS completion_tokens,
-    round(coalesce(sum(cost_usd), 0), 4) AS cost_usd, count_if(cache_hit) AS cache_hits"""
+    CAST(round(coalesce(sum(CAST(cost_usd AS DECIMAL(18,8))), 0), 4) AS DOUBLE) AS cost_usd, count_if(cache_hit) AS cache_hits"""
 _RATIO = lambda a, b: f"CASE WHEN {b} = 0 THEN 0.0::DOUBLE ELSE round({a}::DOUBLE / {b}, 6) END"
 
 
@@ -55,14 +55,14 @@ def a05(t: Tables) -> DataFrame:
 
 
 @query("a07_w19_spend_shares", sql("calls", """
-    , r AS (SELECT model, coalesce(sum(cost_usd), 0) AS cost FROM calls GROUP BY 1)
-    SELECT model, round(cost, 4) AS cost_usd, round(CASE WHEN sum(cost) OVER () = 0 THEN 0 ELSE 100 * cost / sum(cost) OVER () END, 3) AS percent FROM r"""))
+    , r AS (SELECT model, CAST(round(coalesce(sum(CAST(cost_usd AS DECIMAL(18,8))), 0), 4) AS DOUBLE) AS cost FROM calls GROUP BY 1)
+    SELECT model, cost AS cost_usd, round(CASE WHEN sum(cost) OVER () = 0 THEN 0 ELSE 100 * cost / sum(cost) OVER () END, 3) AS percent FROM r"""))
 def a07(t: Tables) -> DataFrame:
     return rollups.spend_shares(t.call, "model")
 
 
 _SHAPES = rf"""
-    , live AS (SELECT *, coalesce(regexp_matches(regexp_replace(source_text, '\[\[/?T\d+\]\]', '', 'g'), '[^\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]'), false) AS t FROM seg),
+    , live AS (SELECT *, coalesce(regexp_matches(regexp_replace(source_text, '\[\[/?T\d+\]\]', '', 'g'), '[^\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]'), false) AS t FROM seg),
     b AS (SELECT chapter_id, count(*) AS segment_count, count_if(t) AS translatable, count_if(t AND status = 'approved') AS approved, count_if(t AND status IN ('translated', 'approved')) AS translated FROM live GROUP BY 1),
     shapes AS (SELECT c.id AS chapter_id, c.project_id, c.spine_idx, coalesce(segment_count, 0) AS segment_count, coalesce(translatable, 0) AS translatable, coalesce(approved, 0) AS approved, coalesce(translated, 0) AS translated,
           coalesce(translatable, 0) - coalesce(translated, 0) AS pending FROM chapter c LEFT JOIN b ON b.chapter_id = c.id)
@@ -114,8 +114,9 @@ def a17(t: Tables) -> DataFrame:
 
 
 @query("a19_e05_duplicate_terms", sql("gloss", """
-    , r AS (SELECT project_id, source_term, list(id ORDER BY CASE status WHEN 'locked' THEN 0 WHEN 'confirmed' THEN 1 WHEN 'proposed' THEN 2 ELSE 99 END, type = 'term', created_at, id) AS members FROM gloss WHERE source_term IS NOT NULL GROUP BY 1, 2)
-    SELECT * FROM r WHERE len(members) > 1"""))
+    , r AS (SELECT project_id, source_term, id, first_value(id) OVER (PARTITION BY project_id, source_term ORDER BY CASE status WHEN 'locked' THEN 0 WHEN 'confirmed' THEN 1 WHEN 'proposed' THEN 2 ELSE 99 END, type = 'term', created_at, id) AS winner,
+          count(*) OVER (PARTITION BY project_id, source_term) AS members FROM gloss WHERE source_term IS NOT NULL)
+    SELECT * FROM r WHERE members > 1"""))
 def a19(t: Tables) -> DataFrame:
     return rollups.duplicate_groups(t.glossary)
 

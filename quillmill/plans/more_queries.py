@@ -113,7 +113,7 @@ def z01(t: Tables) -> DataFrame:
 
 
 @query("z10_z15_sanitised_targets", sql("seg", rf"""
-    , x AS (SELECT s.id, s.target_text, CASE WHEN p.target_lang IN ({', '.join(repr(c) for c in text.NO_LEADING_APOSTROPHE)}) THEN regexp_replace(s.target_text, '(^|[\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}])[''‘’ʼ]+(\p{{L}})', '\1\2', 'g') ELSE s.target_text END AS new_target FROM seg s JOIN project p ON p.id = s.project_id WHERE s.target_text IS NOT NULL)
+    , x AS (SELECT s.id, s.target_text, CASE WHEN p.target_lang IN ({', '.join(repr(c) for c in text.NO_LEADING_APOSTROPHE)}) THEN regexp_replace(s.target_text, '(^|[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}])[''‘’ʼ]+(\p{{L}})', '\1\2', 'g') ELSE s.target_text END AS new_target FROM seg s JOIN project p ON p.id = s.project_id WHERE s.target_text IS NOT NULL)
     SELECT * FROM x WHERE new_target <> target_text"""))
 def z15(t: Tables) -> DataFrame:
     """The dry run: only targets that the clean-up would change."""

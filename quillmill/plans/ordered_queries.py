@@ -76,8 +76,8 @@ def w08(t: Tables) -> DataFrame:
     z AS (SELECT *, n - 10 AS zone, greatest(1, floor((n - 10) / 5)) AS step, k - 5 AS pl FROM n)
     SELECT id, project_id, CAST(k AS INTEGER) AS position FROM z WHERE n <= 14 OR k < 5 OR k >= n - 5 OR (pl >= step AND pl < zone AND pl % step = 0 AND pl / step <= 4)"""))
 def w09(t: Tables) -> DataFrame:
-    rows = reads.book_order(t.segment.select("id", "project_id", "chapter_id", "idx"), t.chapter)
-    return ordered.spread_sample(rows, "project_id", ["spine_idx", "idx", "id"], 5, 4, 5).select("id", "project_id", "position")
+    rows = reads.book_positions(t.segment.select("id", "project_id", "chapter_id", "idx"), t.chapter)
+    return ordered.spread_sample(rows, "project_id", "position", 5, 4, 5).select("id", "project_id", "position")
 
 
 @query("w10_sample_text", sql("book", """
@@ -88,10 +88,9 @@ def w10(t: Tables) -> DataFrame:
     """The first 40 blocks of each book, clipped, up to a total of 12,000 characters: a report of fixed size."""
     from pyspark.sql import Window as W
 
-    rows = reads.book_order(t.segment.select("id", "project_id", "chapter_id", "idx", "source_text"), t.chapter)
-    order = W.partitionBy("project_id").orderBy("spine_idx", "idx", "id")
+    rows = reads.book_positions(t.segment.select("id", "project_id", "chapter_id", "idx", "source_text"), t.chapter).where("position <= 40")
     block = F.when(F.length("source_text") > 1500, F.concat(F.substring("source_text", 1, 1500), F.lit("…"))).otherwise(F.col("source_text"))
-    s = rows.select("project_id", F.row_number().over(order).alias("r"), block.alias("block")).where("r <= 40")
+    s = rows.select("project_id", F.col("position").alias("r"), block.alias("block"))
     c = s.withColumn("total", F.sum(F.length("block") + F.when(F.col("r") == 1, 0).otherwise(7)).over(W.partitionBy("project_id").orderBy("r").rowsBetween(W.unboundedPreceding, 0))).where("total <= 12000")
     return c.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "block"))), lambda x: x["block"]), "\n\n---\n\n").alias("sample"))
 

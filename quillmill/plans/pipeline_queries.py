@@ -8,7 +8,7 @@ from quillmill.operators import calls
 from quillmill.plans.registry import query
 from quillmill.plans.views import Tables, sql
 
-_LIVE = r"""status = 'pending' AND regexp_matches(regexp_replace(regexp_replace(source_text, '\[\[/?T\d+\]\]', '', 'g'), '[\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}]', '', 'g'), '[^\s\x{1c}-\x{1f}\x{85}\p{Z}]')"""
+_LIVE = r"""status = 'pending' AND regexp_matches(regexp_replace(regexp_replace(source_text, '\[\[/?T\d+\]\]', '', 'g'), '[\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}]', '', 'g'), '[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]')"""
 _KEY = "substring(sha256('m:' || sha256(project_id) || ':' || sha256(source_text) || ':' || repeat('0', 32)), 1, 32)"
 
 
@@ -41,9 +41,12 @@ def l12(t: Tables) -> DataFrame:
     """W03 chunks of every book as prompts."""
     from quillmill.operators import ordered, reads
 
-    rows = reads.book_order(t.segment.where("length(source_text) > 0").select("id", "project_id", "chapter_id", "idx", "source_text"), t.chapter)
-    cut = ordered.greedy_chunks(rows, "project_id", ["spine_idx", "idx", "id"], F.greatest(F.lit(1), F.floor(F.length("source_text") / 4)), 1500)
-    return calls.chunk_prompts(cut.select("project_id", "chunk", F.struct("spine_idx", "idx", "id").alias("position"), F.col("source_text").alias("text"))).select("project_id", "chunk", "paragraphs", F.sha2("prompt", 256).alias("prompt_hash"))
+    texts = t.segment.where("length(source_text) > 0")
+    # only ids and sizes go through the sequential fold; texts join their chunk afterwards
+    rows = reads.book_order(texts.select("id", "project_id", "chapter_id", "idx", F.greatest(F.lit(1), F.floor(F.length("source_text") / 4)).alias("n")), t.chapter)
+    cut = ordered.greedy_chunks(rows, "project_id", ["spine_idx", "idx", "id"], F.col("n"), 1500)
+    joined = cut.select("id", "project_id", "chunk", F.struct("spine_idx", "idx", "id").alias("position")).join(texts.select("id", F.col("source_text").alias("text")), "id")
+    return calls.chunk_prompts(joined).select("project_id", "chunk", "paragraphs", F.sha2("prompt", 256).alias("prompt_hash"))
 
 
 @query("l13_proposals_from_answers", sql("traces", "SELECT project_id, e AS term, count(*) AS seen FROM (SELECT project_id, unnest(used_entries) AS e FROM traces) GROUP BY ALL"))

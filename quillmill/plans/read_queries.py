@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quillmill.operators import reads, setops
+from quillmill.operators import reads, rollups, setops
 from quillmill.plans.registry import query
 from quillmill.plans.views import Tables, sql
 
 NOW = 1_706_000_000  # a fixed "now" inside the log
 
 
-@query("f01_projects_newest_first", "SELECT id, name, kind, created_at, CAST(row_number() OVER (ORDER BY created_at DESC, id) AS INTEGER) AS position FROM project WHERE kind = 'book'")
+@query("f01_projects_newest_first", "SELECT id, name, kind, created_at FROM project WHERE kind = 'book' ORDER BY created_at DESC, id")
 def f01(t: Tables) -> DataFrame:
     books = t.project.where("kind = 'book'")
-    return books.select("id", "name", "kind", "created_at", F.row_number().over(W.orderBy(F.desc("created_at"), "id")).alias("position"))
+    return books.select("id", "name", "kind", "created_at").orderBy(F.desc("created_at"), "id")
 
 
 @query("f02_chapters_in_spine_order", "SELECT id, project_id, spine_idx, href, title, CAST(row_number() OVER (PARTITION BY project_id ORDER BY spine_idx, id) AS INTEGER) AS position FROM chapter")
@@ -40,8 +40,7 @@ def f05(t: Tables) -> DataFrame:
 
 @query("f06_o01_book_order", sql("book", "SELECT id, project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY spine_idx, idx, id) AS INTEGER) AS position FROM book"))
 def f06(t: Tables) -> DataFrame:
-    order = W.partitionBy("project_id").orderBy("spine_idx", "idx", "id")
-    return reads.book_order(t.segment.select("id", "project_id", "chapter_id", "idx"), t.chapter).select("id", "project_id", F.row_number().over(order).alias("position"))
+    return reads.book_positions(t.segment.select("id", "project_id", "chapter_id", "idx"), t.chapter).select("id", "project_id", "position")
 
 
 @query("f07_worklists", sql("book", "SELECT status, id, project_id, spine_idx, idx FROM book WHERE status IN ('pending', 'flagged')"))
@@ -115,7 +114,7 @@ def f25(t: Tables) -> DataFrame:
 
 
 @query("f31_navigation_queue", sql("seg", r"""
-    , live AS (SELECT id, chapter_id FROM seg WHERE regexp_matches(regexp_replace(source_text, '\[\[/?T\d+\]\]', '', 'g'), '[^\s\x{1c}-\x{1f}\x{85}\p{Z}]'))
+    , live AS (SELECT id, chapter_id FROM seg WHERE regexp_matches(regexp_replace(source_text, '\[\[/?T\d+\]\]', '', 'g'), '[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]'))
     SELECT c.id AS chapter_id, c.project_id, count(l.id) AS segments FROM chapter c JOIN live l ON l.chapter_id = c.id GROUP BY ALL"""))
 def f31(t: Tables) -> DataFrame:
     from quillmill.functions import text
@@ -146,16 +145,16 @@ def j10(t: Tables) -> DataFrame:
 
 @query("j11_series_rollup", sql("seg calls", """
     , s AS (SELECT project_id, count(*) AS segments, count_if(status <> 'pending') AS translated, count_if(status = 'approved') AS approved FROM seg GROUP BY 1),
-    c AS (SELECT project_id, round(sum(cost_usd), 4) AS spend FROM calls GROUP BY 1)
+    c AS (SELECT project_id, sum(CAST(cost_usd AS DECIMAL(18,8))) AS cost FROM calls GROUP BY 1)
     SELECT p.source_lang, p.target_lang, count(*) AS projects, CAST(coalesce(sum(segments), 0) AS BIGINT) AS segments, CAST(coalesce(sum(translated), 0) AS BIGINT) AS translated,
-           CAST(coalesce(sum(approved), 0) AS BIGINT) AS approved, round(coalesce(sum(spend), 0), 3) AS spend
+           CAST(coalesce(sum(approved), 0) AS BIGINT) AS approved, CAST(round(coalesce(sum(cost), 0), 4) AS DOUBLE) AS spend
     FROM project p LEFT JOIN s ON s.project_id = p.id LEFT JOIN c ON c.project_id = p.id GROUP BY 1, 2"""))
 def j11(t: Tables) -> DataFrame:
     s = t.segment.groupBy("project_id").agg(F.count("*").alias("segments"), F.count_if(F.col("status") != "pending").alias("translated"), F.count_if(F.col("status") == "approved").alias("approved"))
-    c = t.call.groupBy("project_id").agg(F.round(F.sum("cost_usd"), 4).alias("spend"))
+    c = t.call.groupBy("project_id").agg(F.sum(F.col("cost_usd").cast("decimal(18,8)")).alias("cost"))
     p = t.project.select(F.col("id").alias("project_id"), "source_lang", "target_lang").join(s, "project_id", "left").join(c, "project_id", "left")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return p.groupBy("source_lang", "target_lang").agg(F.count("*").alias("projects"), zero("segments"), zero("translated"), zero("approved"), F.round(F.coalesce(F.sum("spend"), F.lit(0.0)), 3).alias("spend"))
+    return p.groupBy("source_lang", "target_lang").agg(F.count("*").alias("projects"), zero("segments"), zero("translated"), zero("approved"), rollups.money(F.col("cost")).alias("spend"))
 
 
 _PAIR = """
@@ -196,8 +195,7 @@ def o03(t: Tables) -> DataFrame:
 @query("o05_first_segments", sql("book", """
     SELECT id, project_id, position FROM (SELECT id, project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY spine_idx, idx, id) AS INTEGER) AS position FROM book) WHERE position <= 30"""))
 def o05(t: Tables) -> DataFrame:
-    order = W.partitionBy("project_id").orderBy("spine_idx", "idx", "id")
-    return reads.book_order(t.segment.select("id", "project_id", "chapter_id", "idx"), t.chapter).select("id", "project_id", F.row_number().over(order).alias("position")).where("position <= 30")
+    return reads.book_positions(t.segment.select("id", "project_id", "chapter_id", "idx"), t.chapter).where("position <= 30").select("id", "project_id", "position")
 
 
 @query("o06_o07_g13_constraints", sql("gloss", """
@@ -220,9 +218,9 @@ def o11(t: Tables) -> DataFrame:
     return t.glossary.groupBy("type").agg(F.count("*").alias("entries")).orderBy(F.desc("entries"), "type").limit(5)
 
 
-@query("o12_series_order", "SELECT id, CAST(row_number() OVER (ORDER BY created_at DESC, lower(name), id) AS INTEGER) AS position FROM project")
+@query("o12_series_order", "SELECT id, name, created_at FROM project ORDER BY created_at DESC, lower(name), id")
 def o12(t: Tables) -> DataFrame:
-    return t.project.select("id", F.row_number().over(W.orderBy(F.desc("created_at"), F.lower("name"), "id")).alias("position"))
+    return t.project.select("id", "name", "created_at").orderBy(F.desc("created_at"), F.lower("name"), "id")
 
 
 @query("u01_inbox", sql("seg gloss event", """

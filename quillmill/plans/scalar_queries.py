@@ -9,8 +9,8 @@ from quillmill.plans.registry import query
 from quillmill.plans.views import Tables, sql
 
 _PH = r"\[\[/?T\d+\]\]"
-_SP = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
-_NSP = r"[^\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+_SP = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+_NSP = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 _STRIP = lambda x: f"regexp_replace({x}, '^{_SP}+|{_SP}+$', '', 'g')"
 _FLAT = lambda x: f"trim(regexp_replace({x}, '{_SP}+', ' ', 'g'))"
 

@@ -82,7 +82,7 @@ def test_near_duplicates_and_merge(spark):
     rows = [("a", "p", "character", "House Stark", "Casa Stark", "proposed"), ("b", "p", "term", "house stark.", "Stark", "locked"), ("c", "p", "place", "House Starx", "Starx", "proposed"), ("d", "p", "place", "Winterfell", "W", "locked"), ("e", "q", "place", "House Stark", "x", "locked"), ("f", "p", "place", None, "", "locked")]
     e = spark.createDataFrame(rows, "id string, project_id string, type string, source_term string, target_term string, status string")
     g = resolution.near_duplicates(e)
-    assert sorted((r["id"], r["rank"]) for r in g.collect()) == [("a", 2), ("b", 1), ("c", 3)]
+    assert sorted((r["id"], r["winner"]) for r in g.collect()) == [("a", "b"), ("b", "b"), ("c", "b")]
     al = spark.createDataFrame([("a", "source", "Starks"), ("b", "source", "House Stark")], "entry_id string, side string, text string")
     left, aliases = resolution.merge(e, al, g)
     assert {r["id"] for r in left.collect()} == {"b", "d", "e", "f"}
@@ -105,9 +105,9 @@ def test_chunks_runs_breaker_and_sample(spark):
     assert [(r["island"], r["part"]) for r in sorted(ordered.runs(e, ["g"], ["k"], F.col("e"), 2).collect(), key=lambda r: r["k"])] == [(1, 0), (1, 0), (1, 1), (2, 0), (3, 0)]
     f = spark.createDataFrame([("p", k, x) for k, x in enumerate("FFxFFFF")], "g string, k int, x string")
     assert ordered.breaker(f, "g", "k", F.col("x") == "F", 3).collect()[0]["tripped_at"] == 5 and ordered.breaker(f, "g", "k", F.col("x") == "F", 0).count() == 0
-    n = spark.createDataFrame([("p", k) for k in range(20)], "g string, k int")
-    assert sorted(r["k"] for r in ordered.spread_sample(n, "g", ["k"], 2, 3, 2).collect()) == [0, 1, 6, 10, 14, 18, 19]
-    assert ordered.spread_sample(n.limit(5), "g", ["k"], 2, 3, 2).count() == 5
+    n = spark.createDataFrame([("p", k, k + 1) for k in range(20)], "g string, k int, at int")
+    assert sorted(r["k"] for r in ordered.spread_sample(n, "g", "at", 2, 3, 2).collect()) == [0, 1, 6, 10, 14, 18, 19]
+    assert ordered.spread_sample(n.where("at <= 5"), "g", "at", 2, 3, 2).count() == 5
     cut = ordered.running_cut(spark.createDataFrame([("p", 0, 5), ("p", 1, 5), ("p", 2, 1)], "g string, k int, n int"), "g", ["k"], F.col("n"), F.lit(10))
     assert [(r["k"], r["total"]) for r in cut.collect()] == [(2, 11)]
 
