@@ -79,5 +79,6 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
     )
-    every = out.agg(F.sum("tokens").alias("every"))
-    return out.crossJoin(F.broadcast(every)).withColumn("actual_share", F.round(F.coalesce(F.col("tokens") / F.nullif("every", F.lit(0)), F.lit(0.0)), 6)).drop("every")
+    # the targets are few: one row each
+    every = F.sum("tokens").over(W.partitionBy(F.lit(0)))
+    return out.withColumn("actual_share", F.round(F.coalesce(F.col("tokens") / F.nullif(every, F.lit(0)), F.lit(0.0)), 6))
