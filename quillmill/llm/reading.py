@@ -114,7 +114,8 @@ def fit(documents: DataFrame, reading_label: DataFrame) -> Model:
     size = labels.count()
     if size > SAMPLE_DOCS:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= int(1_000_003 * SAMPLE_DOCS / size))
-    texts = documents.where("text IS NOT NULL").select("doc_id", "text").join(labels, "doc_id").dropDuplicates(["doc_id"])
+    # SAMPLE_DOCS bounds the labels, so they go to the documents and no text moves but those that are labelled
+    texts = documents.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(labels), "doc_id").dropDuplicates(["doc_id"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
