@@ -79,3 +79,30 @@ def chunk_prompts(chunks: DataFrame) -> DataFrame:
     """chunks(project_id, chunk, position, text) -> one prompt per chunk, paragraphs in order."""
     part = F.array_sort(F.collect_list(F.struct("position", "text")))
     return chunks.groupBy("project_id", "chunk").agg(F.array_join(F.transform(part, lambda x: x["text"]), "\n\n").alias("prompt"), F.count("*").alias("paragraphs"))
+
+
+class ScriptedModel:
+    """Answers from a queue first, then a fixed answer, then a function of the prompt; counts its calls.
+
+    The queue serves tests on one worker; across workers only the fixed answer and the function are deterministic.
+    """
+
+    def __init__(self, queue: list[str] | None = None, fixed: str | None = None, responder: Model = echo_model):
+        self.queue, self.fixed, self.responder, self.calls = list(queue or []), fixed, responder, 0
+
+    def __call__(self, prompt: str) -> str:
+        self.calls += 1
+        if self.queue:
+            return self.queue.pop(0)
+        return self.fixed if self.fixed is not None else self.responder(prompt)
+
+
+def schedule(items: DataFrame, key: str, order: list[str], cost: Column, cap: Column) -> DataFrame:
+    """Items of a batch in order, with the running cost before each and whether it is still submitted.
+
+    An item goes out while the total before it is not strictly above the cap.
+    """
+    from pyspark.sql import Window as W
+
+    before = F.sum(cost).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return items.withColumn("spent", F.coalesce(before, F.lit(0).cast("decimal(28,6)"))).withColumn("submitted", F.col("spent") <= cap)

@@ -232,6 +232,24 @@ def rebuild(text: str, tokens: list[dict]) -> str:
     return "".join(out)
 
 
+def preview(text: str, tokens: list[dict]) -> str:
+    """Placeholders as the tags they stand for, without attributes; breaks as line ends, images by their alt text."""
+    def show(m: re.Match) -> str:
+        k = int(m.group(2))
+        if k >= len(tokens):
+            return m.group()
+        tok = tokens[k]
+        if tok["kind"] == "entity":
+            return tok["tag"]
+        if tok["tag"] == "br":
+            return "\n"
+        if tok["tag"] == "img":
+            return f"[{dict(tok['attrs'] or {}).get('alt') or 'image'}]"
+        return f"<{m.group(1)}{tok['tag']}{'/' if tok['kind'] == 'void' else ''}>"
+
+    return MARK.sub(show, text)
+
+
 def trivially_empty(text: str) -> bool:
     return not _INVISIBLE.sub("", MARK.sub("", text)).strip()
 
