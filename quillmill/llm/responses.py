@@ -180,7 +180,7 @@ def word_model(segments: DataFrame, projects: DataFrame) -> dict[str, list[float
     sizes = labelled.groupBy("source_lang").agg(F.approx_count_distinct("id").alias("n"))
     text = F.regexp_replace("source_text", r"\[\[/?T\d+\]\]", " ")
     counts = (
-        labelled.join(sizes, "source_lang")
+        labelled.join(F.broadcast(sizes), "source_lang")  # a row per language of LANGUAGES
         .where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) <= F.lit(1_000_003 * SAMPLE_TEXTS) / F.col("n"))
         .select("source_lang", F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{M}])(\p{Ll}[\p{L}\p{M}]*)"), 1)).alias("word"))
         .groupBy("source_lang", "word").count()
@@ -234,7 +234,8 @@ def judge(rows: DataFrame, words: dict[str, list[float]]) -> DataFrame:
             for c, values in zip(cols, zip(*(got[k] for k in kept)) if kept else [[] for _ in cols]):
                 out[c] = values
             out["length"] = [len(t) if t is not None else 0 for t in pdf["target"].iloc[kept]]
-            out["pair"] = [f"{a}>{b}" for a, b in zip(pdf["source_lang"].iloc[kept], pdf["target_lang"].iloc[kept])]
+            code = lambda x: x if x in LANGUAGES else "?"
+            out["pair"] = [f"{code(a)}>{code(b)}" for a, b in zip(pdf["source_lang"].iloc[kept], pdf["target_lang"].iloc[kept])]
             yield out
 
     return rows.mapInPandas(run, JUDGED)
@@ -260,13 +261,14 @@ def length_hazards(records: DataFrame) -> DataFrame:
 
 def _suspects(judged: DataFrame) -> DataFrame:
     """Whole-looking answers with fewer sentences and clearly fewer characters than their pair of languages makes usual."""
+    # a row per pair of LANGUAGES
     usual = (
         judged.where("defect IS NULL AND NOT open AND source_chars > 30")
         .groupBy("pair").agg(F.percentile_approx(F.col("target_chars") / F.col("source_chars"), 0.5).alias("usual"))
     )
     return (
         judged.where("defect IS NULL AND NOT open AND target_stops < source_stops")
-        .join(usual, "pair").where("target_chars < 0.9 * usual * source_chars")
+        .join(F.broadcast(usual), "pair").where("target_chars < 0.9 * usual * source_chars")
     )
 
 
