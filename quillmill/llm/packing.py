@@ -27,6 +27,8 @@ from quillmill.runtime import cut_lineage
 
 SHARD_ITEMS = 4000
 FAN_IN = 16
+#: Counts of at most so many projects are broadcast (two short columns a project).
+BROADCAST_PROJECTS = 100_000
 #: A window is closed for good, before the last level, when no more than this share of it is empty.
 SLACK = 0.02
 
@@ -162,8 +164,10 @@ def helper_calls(segments: DataFrame, options: DataFrame) -> DataFrame:
     cut = sized.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cut = cut.withColumn("size", F.when(F.col("part") < F.col("parts") - 1, F.col("capacity")).otherwise(F.col("size") - F.col("capacity") * (F.col("parts") - 1)).cast("int"))
     cut = cut_lineage(cut.select("project_id", "capacity", "queue", "id", "part", "parts", "size"))
-    counts = cut.groupBy("project_id").agg(F.ceil(F.count("*") / SHARD_ITEMS).cast("int").alias("shards"))
-    most = counts.agg(F.max("shards")).first()[0] or 0
+    counts = cut_lineage(cut.groupBy("project_id").agg(F.ceil(F.count("*") / SHARD_ITEMS).cast("int").alias("shards")))
+    most, projects = counts.agg(F.coalesce(F.max("shards"), F.lit(0)), F.count("*")).first()
+    # a join on the project would gather a hot project in one task; the counts go out whole while they are few
+    counts = F.broadcast(counts) if projects <= BROADCAST_PROJECTS else counts
     depth = 1 + (math.ceil(math.log(most, FAN_IN)) if most > 1 else 0)
     left = (
         cut.join(counts, "project_id")
