@@ -25,6 +25,8 @@ from quillmill.runtime import cut_lineage
 
 BINS = 4096
 SEED = 20
+#: Targets of at most so many sources are broadcast (a short row a source).
+BROADCAST_SOURCES = 10_000
 
 
 def quality_weight(text=None):
@@ -44,7 +46,8 @@ def sized_documents(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFr
 def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, folder: str = TOKENIZER_DIR) -> DataFrame:
     """(doc_id, source, tokens, copies): how often each document goes into the mix, for those that do."""
     wanted = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats >= 1").select("source", "target_share", "max_repeats")
-    listed = F.broadcast(wanted) if wanted.count() <= 10_000 else wanted
+    few = wanted.count() <= BROADCAST_SOURCES
+    listed = F.broadcast(wanted) if few else wanted
     sized = cut_lineage(sized_documents(documents.join(listed.select("source"), "source", "left_semi"), folder))
     sizes = sized.groupBy("source").agg(F.sum("tokens").alias("size"))
     plan = wanted.join(sizes.where("size > 0"), "source")
@@ -57,7 +60,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     ).withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("size")).otherwise(0.0))
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     # the order of -ln(u)/w is that of 1 - u^(1/w), which lies in (0, 1) and so falls into bins
-    keyed = sized.join(plan, "source").withColumn("key", 1 - F.pow(unit, 1 / F.col("weight"))).withColumn("bin", F.floor(F.col("key") * BINS).cast("int"))
+    # a join on the source would gather a hot source in one task
+    keyed = sized.join(F.broadcast(plan) if few else plan, "source").withColumn("key", 1 - F.pow(unit, 1 / F.col("weight"))).withColumn("bin", F.floor(F.col("key") * BINS).cast("int"))
     bins = keyed.groupBy("source", "bin").agg(F.sum("tokens").alias("held"))
     bins = bins.withColumn("before", F.sum("held").over(W.partitionBy("source").orderBy("bin")) - F.col("held"))
     placed = keyed.join(bins, ["source", "bin"])
