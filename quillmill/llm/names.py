@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillmill.llm import textnorm
 from quillmill.operators.graph import components
+from quillmill.operators.resolution import parts
 from quillmill.runtime import cut_lineage, latest_by_id
 
 # Words that name a title, a kind of place or organisation, an ordinal or an epithet.
@@ -75,11 +76,26 @@ def _deletes(word: str) -> set[str]:
 
 _FUZZY: dict[str, tuple[str, str]] = {}
 for _w, _v in _LEX.items():
-    if len(_w) >= 6 and _v[0] in ("title", "place", "body", "epi", "fill"):
+    if len(_w) >= 5 and _w.isascii() and _v[0] in ("title", "place", "body", "epi", "fill"):
         for _d in _deletes(_w) | {_w}:
             _FUZZY.setdefault(_d, _v)
 
-_PIECES = re.compile(r"[぀-ヿ㐀-鿿々]+|[^\W\d_]+|\d\w*", re.U)
+_PIECES = re.compile(r"[぀-ヿ㐀-鿿々]+|[^\W\d_぀-ヿ㐀-鿿々]+|\d\w*", re.U)
+_VOWELS = frozenset("aeiouy")
+
+
+def _title_of(word: str) -> str | None:
+    """The title that a dotted word without vowels after its first letter shortens (Kpt., Sgt.)."""
+    if len(word) < 2 or _VOWELS & set(word[1:]):
+        return None
+    for name, words in TITLES.items():
+        for w in words.split():
+            rest = iter(w)
+            if w[0] == word[0] and all(c in rest for c in word):
+                return name
+    return None
+
+
 ENTITY_TYPES = ("character", "place", "organization", "term")
 
 
@@ -99,7 +115,7 @@ def _latin(text: str) -> str:
 
 def _classify(word: str) -> tuple[str, str] | None:
     hit = _LEX.get(word)
-    if hit is None and len(word) >= 6:
+    if hit is None and len(word) >= 5:
         for d in (word, *sorted(_deletes(word))):
             hit = _FUZZY.get(d)
             if hit:
@@ -120,8 +136,10 @@ def parse(term: str | None, etype: str) -> dict | None:
     folded = re.sub(r"\b([dl])'", r"\1", folded) if re.search(r"\b[dl]'(?:imp|anc)", folded) else folded.replace("'", " ")
     out: dict = {"title": set(), "place": set(), "body": set(), "ord": set(), "epi": set()}
     names: list[tuple[str, bool]] = []
+    plain = not comma  # written in full: no slip in a kind word or title, nothing shortened, no parts swapped
     for m in _PIECES.finditer(folded):
         w, dot = m.group(), folded[m.end() : m.end() + 1] == "."
+        plain = plain and not dot
         if not w.isascii() and not w[0].isascii() and len(w) > 1 and w not in _LEX and "぀" <= w[0] <= "鿿":
             for part in re.findall(r"第[一二]|船長|教授|博士|軍曹|夫人|修道士|僧院|同胞団|印刷所|商会|学院|[港森城島老若]", w):
                 g, n = _LEX[part]
@@ -132,10 +150,16 @@ def parse(term: str | None, etype: str) -> dict | None:
             continue
         hit = _classify(w)
         if hit and not (dot is False and hit[0] in ("title", "place", "body", "fill") and len(w) <= 3 and w.isascii() and w not in ("ile",) and w != "co"):
+            plain = plain and w in _LEX
             if hit[0] in out:
                 out[hit[0]].add(hit[1])
             continue
+        title = _title_of(w) if dot else None
+        if title:
+            out["title"].add(title)
+            continue
         names.append((w, dot))
+    out["plain"] = plain
     out["vocabulary"] = vocabulary and not (out["place"] or out["body"] or out["title"] or out["ord"])
     out["comma"], out["names"] = comma, names
     return out
@@ -176,10 +200,12 @@ def analyse(etype: str, source: str | None, target: str | None) -> dict | None:
         kind = etype
     person = kind == "character"
     cores, given, short, initials = set(), set(), set(), set()
+    named = 0
     for p in sides:
         c, g, s, i = _side(p, person)
         if c:
             cores.add(c)
+            named += 1
         given.update(g), short.update(s), initials.update(i)
     if not cores:
         return None
@@ -189,12 +215,12 @@ def analyse(etype: str, source: str | None, target: str | None) -> dict | None:
         "ord": "+".join(sorted(union["ord"])) if not person else "",
         "epi": "+".join(sorted(union["epi"])) if person else "",
         "title": "+".join(sorted(union["title"])) if person else "",
-        "cores": sorted(cores), "given": sorted(given), "short": sorted(short), "initials": sorted(initials),
+        "sure": named == 2 and len(cores) == 1 and len(given) == person and all(p["plain"] and len(p["names"]) <= 1 + person for p in sides), "cores": sorted(cores), "given": sorted(given), "short": sorted(short), "initials": sorted(initials),
     }
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["project_id", "id", "kind", "what", "ord", "epi", "title", "cores", "given", "short", "initials"]
+    cols = ["project_id", "id", "kind", "what", "ord", "epi", "title", "sure", "cores", "given", "short", "initials"]
     for pdf in batches:
         rows = []
         for project, i, t, s, u in zip(pdf["project_id"], pdf["id"], pdf["type"], pdf["source_term"], pdf["target_term"]):
@@ -206,7 +232,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 PARSED = (
     "project_id string, id string, kind string, what string, ord string, epi string, title string, "
-    "cores array<string>, given array<string>, short array<string>, initials array<string>"
+    "sure boolean, cores array<string>, given array<string>, short array<string>, initials array<string>"
 )
 
 
@@ -215,14 +241,14 @@ def _variants(core: str) -> list[str]:
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Strong forms name the entity in full; weak ones (owned by an entry in full) are looked up by entries that have only them."""
+    """Strong forms name the entity in full, near ones with a letter left out; weak ones (owned by an entry in full) are looked up by entries that have only them."""
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
             given = sorted(set(r.given))
             if r.kind != "character":
                 base = f"{r.kind}|{r.what}|{r.ord}"
-                rows += [(r.project_id, r.id, f"{base}|{v}", "strong") for c in r.cores for v in _variants(c)]
+                rows += [(r.project_id, r.id, f"{base}|{v}", "strong" if v == c else "near") for c in r.cores for v in _variants(c)]
                 if r.what:
                     rows += [(r.project_id, r.id, f"{r.kind}|?|{r.ord}|{c}", "owned") for c in r.cores]
                 else:
@@ -231,10 +257,10 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             epi = r.epi
             for c in r.cores:
                 for v in _variants(c):
-                    rows += [(r.project_id, r.id, f"p|{epi}|{g}|{v}", "strong") for g in given]
+                    rows += [(r.project_id, r.id, f"p|{epi}|{g}|{v}", "strong" if v == c else "near") for g in given]
                 for g in given:
                     if len(g) >= 5:
-                        rows += [(r.project_id, r.id, f"p|{epi}|{d}~|{c}", "strong") for d in [g, *sorted(_deletes(g))]]
+                        rows += [(r.project_id, r.id, f"p|{epi}|{d}~|{c}", "near") for d in [g, *sorted(_deletes(g))]]
             how = "owned" if given else "weak"
             for c in r.cores:
                 for v in _variants(c):
@@ -295,6 +321,26 @@ def _with_nicknames(parsed: DataFrame, nickname: DataFrame) -> DataFrame:
     return parsed.join(more, ["project_id", "id"], "left").withColumn("given", F.array_union("given", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
 
 
+def _near_edges(parsed: DataFrame, forms: DataFrame, exact: DataFrame) -> DataFrame:
+    """Edges (a, b) between exact identities that meet in a form with a letter left out.
+
+    An identity that some entry spells in full and alike on both sides is sure: whoever shortens nothing and slips nowhere
+    else seldom makes one slip twice. Two sure identities are never joined by near forms; any other goes to the one sure identity that it shares most forms with,
+    and only those that meet none go together.
+    """
+    sure = parsed.where("sure AND size(given) <= 1").select("id").join(exact, "id").select("root").distinct().withColumn("sure", F.lit(True))
+    met = forms.where("strength IN ('strong', 'near')").select("project_id", "form", "id").join(exact, "id").select("project_id", "form", "root").distinct()
+    many = met.groupBy("project_id", "form").agg(F.count("*").alias("n")).where("n > 1").select("project_id", "form")
+    met = cut_lineage(met.join(many, ["project_id", "form"], "left_semi").join(sure, "root", "left"))
+    loose, held = met.where("sure IS NULL").select("project_id", "form", F.col("root").alias("a")), met.where("sure").select("project_id", "form", F.col("root").alias("b"))
+    shared = cut_lineage(loose.join(held, ["project_id", "form"]).groupBy("a", "b").agg(F.count("*").alias("n")))
+    best = shared.groupBy("a").agg(F.max("n").alias("n"))
+    to_sure = cut_lineage(shared.join(best, ["a", "n"]).groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("hi")).where("b = hi").select("a", "b"))
+    free = loose.join(shared.select("a").distinct(), "a", "left_anti")
+    stars = free.groupBy("project_id", "form").agg(F.min("a").alias("b"))
+    return to_sure.unionByName(free.join(stars, ["project_id", "form"]).where("a <> b").select("a", "b").distinct())
+
+
 def link_entries(entries: DataFrame, nickname: DataFrame) -> DataFrame:
     """entries -> (project_id, id, kind, root): entries with the same root name the same entity."""
     spellings = cut_lineage(distinct_spellings(entries))
@@ -303,7 +349,8 @@ def link_entries(entries: DataFrame, nickname: DataFrame) -> DataFrame:
     strong = forms.where("strength = 'strong'").select("project_id", "form", "id")
     reps = strong.groupBy("project_id", "form").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     edges = strong.join(reps, ["project_id", "form"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    first = cut_lineage(components(parsed, edges))
+    exact = cut_lineage(components(parsed, edges))
+    first = cut_lineage(components(parsed, exact.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(_near_edges(parsed, forms, exact))))
 
     # weak forms: rarity is one over the number of identities that own the form
     owners = (
@@ -322,12 +369,61 @@ def link_entries(entries: DataFrame, nickname: DataFrame) -> DataFrame:
         .join(to_owner.select(F.col("a").alias("rep")), "rep", "left_anti")
         .where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     )
-    again = first.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(to_owner).unionByName(to_lonely).distinct()
+    slips = _two_slips(parsed, first, spellings)
+    again = first.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(to_owner).unionByName(to_lonely).unionByName(slips).distinct()
     final = components(parsed, again)
     named = parsed.select("project_id", "id", "kind").join(final, "id")
     return spellings.select("id", "entry").join(named, "id").select("project_id", F.col("entry").alias("id"), "kind", "root")
 
 
+#: Names at least so long may differ by two slips on every side, where nothing else holds an entry.
+LONG_NAME = 8
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Three parts of each name, and for entries that look (`lost`) the places where such a part may stand two slips away."""
+    for pdf in batches:
+        rows = set()
+        for r in pdf.itertuples(index=False):
+            scopes = [f"p|{r.epi}|{g}" for g in r.given] if r.kind == "character" else [f"{r.kind}|{r.what}|{r.ord}"]
+            for core in r.cores:
+                n = len(core)
+                if n < LONG_NAME:
+                    continue
+                for s in scopes:
+                    if not r.lost:
+                        rows.update((r.project_id, s, n, i, core[a : a + size], r.id, core, False) for i, (a, size) in enumerate(parts(n)))
+                        continue
+                    for m in range(n - 2, n + 3):
+                        for i, (a, size) in enumerate(parts(m)):
+                            rows.update((r.project_id, s, m, i, core[p : p + size], r.id, core, True) for p in range(max(0, a - 2), min(n - size, a + 2) + 1))
+        yield pd.DataFrame(sorted(rows), columns=["project_id", "scope", "len", "part", "piece", "id", "core", "lost"])
+
+
+def _two_slips(parsed: DataFrame, first: DataFrame, spellings: DataFrame) -> DataFrame:
+    """Edges (a, b) of entries that stand alone and show a slip: one side only, or sides that disagree.
+
+    Their name is compared, within two edits, with the names of the same project, kind and given name; a link is made
+    only where all that is met is one identity.
+    """
+    sizes = first.groupBy("root").agg(F.count("*").alias("n"))
+    single = first.join(sizes.where("n = 1"), "root", "left_semi").select("id")
+    # copies of a spelling speak for it
+    copied = spellings.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id")
+    one_sided = spellings.where("source_term IS NULL").select("id").distinct()
+    alone = parsed.join(single.join(copied, "id", "left_anti"), "id", "left_semi")
+    looking = alone.where("size(cores) > 1").select("id").unionByName(alone.join(one_sided, "id", "left_semi").select("id")).distinct()
+    marked = parsed.join(looking.withColumn("lost", F.lit(True)), "id", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+    cut = cut_lineage(marked.select("project_id", "id", "kind", "what", "ord", "epi", "cores", "given", "lost").mapInPandas(
+        _pieces, "project_id string, scope string, len int, part int, piece string, id string, core string, lost boolean"))
+    key = ["project_id", "scope", "len", "part", "piece"]
+    met = (
+        cut.where("lost").select(*key, F.col("id").alias("a"), F.col("core").alias("ca")).join(cut.where("NOT lost").select(*key, "id", "core"), key)
+        .where(F.levenshtein("ca", "core", 2) >= 0).select("a", "id").distinct().join(first, "id")
+    )
+    return met.groupBy("a").agg(F.min("root").alias("b"), F.max("root").alias("hi")).where("b = hi").select("a", "b")
+
+
 #: Entries of one entity that are paired in one block.
 BLOCK_ROWS = 1000
 

@@ -114,6 +114,17 @@ def test_p2_namesakes_stay_apart(spark):
     assert linked(spark, rows) == [("a", "c")]
 
 
+def test_p2_near_namesakes_and_double_slips(spark):
+    rows = [
+        ("a", "p", "place", "Pakasaro Island", "Isla de Pakasaro"), ("b", "p", "place", "Papasaro Island", "Isla de Papasaro"),  # two places
+        ("c", "p", "place", "Pakasaor Island", "Isla de Pakasaro"), ("d", "p", "place", "Isle of Papaasro", "Isla de Papasaro"),
+        ("e", "p", "organization", "Quonorvingil Academy", "Academia de Quonorvingil"), ("f", "p", "organization", "Quononvingil Academy", "Academia de Quonorinil"),
+        ("g", "p", "character", "Kpt. Yolanda Wendohalsel", "Captain Y. Wendohalsel"), ("h", "p", "character", "Kapitän Yolanda Wendohalsel", "Captain Yolanda Wendohalsel"),
+        ("i", "p", "organization", None, "Rasakelro商会"), ("j", "p", "organization", "Rasakelro Trading Company", "Rasakelro商会"),
+    ]
+    assert linked(spark, rows) == [("a", "c"), ("b", "d"), ("e", "f"), ("g", "h"), ("i", "j")]
+
+
 def test_p2_edges(spark):
     rows = [("a", "p", "character", "", ""), ("b", "p", "character", None, "..."), ("c", None, "character", "Ann Orlandsen", "Ann Orlandsen"), ("d", "p", None, "x", "y"),
             ("e", "p", "character", "Ann Orlandsen", "Ann Orlandsen"), ("e", "p", "character", "Ann Orlandsen", "Ann Orlandsen"), ("f", "p", "character", "Ann " + "Orlandsen" * 200, "Ann Orlandsen")]
