@@ -240,46 +240,44 @@ def _variants(core: str) -> list[str]:
     return [core, *sorted(_deletes(core))] if len(core) >= 6 else [core]
 
 
+STRONG, NEAR, OWNER, SEEKER = 0, 1, 2, 3
+FORMS = "nid long, project_id string, form string, role int, lead string"
+
+
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Strong forms name the entity in full, near ones with a letter left out; weak ones (owned by an entry in full) are looked up by entries that have only them."""
+    """Strong forms name the entity in full, near ones with a letter left out.
+
+    Owner and seeker forms hold the name alone; `lead` is the given name of an owner, and what a seeker has of one: an
+    initial, a short form or nothing.
+    """
     for pdf in batches:
-        rows = []
+        rows: set[tuple] = set()
         for r in pdf.itertuples(index=False):
+            who = (r.nid, r.project_id)
             given = sorted(set(r.given))
             if r.kind != "character":
-                base = f"{r.kind}|{r.what}|{r.ord}"
-                rows += [(r.project_id, r.id, f"{base}|{v}", "strong" if v == c else "near") for c in r.cores for v in _variants(c)]
-                if r.what:
-                    rows += [(r.project_id, r.id, f"{r.kind}|?|{r.ord}|{c}", "owned") for c in r.cores]
-                else:
-                    rows += [(r.project_id, r.id, f"{r.kind}|?|{r.ord}|{c}", "weak") for c in r.cores]
+                for c in r.cores:
+                    rows.update((*who, f"{r.kind}|{r.what}|{r.ord}|{v}", STRONG if v == c else NEAR, "") for v in _variants(c))
+                    rows.add((*who, f"{r.kind}|?|{r.ord}|{c}", OWNER if r.what else SEEKER, ""))
                 continue
-            epi = r.epi
             for c in r.cores:
-                for v in _variants(c):
-                    rows += [(r.project_id, r.id, f"p|{epi}|{g}|{v}", "strong" if v == c else "near") for g in given]
+                near = _variants(c)
                 for g in given:
+                    rows.update((*who, f"p|{r.epi}|{g}|{v}", STRONG if v == c else NEAR, "") for v in near)
                     if len(g) >= 5:
-                        rows += [(r.project_id, r.id, f"p|{epi}|{d}~|{c}", "near") for d in [g, *sorted(_deletes(g))]]
-            how = "owned" if given else "weak"
-            for c in r.cores:
-                for v in _variants(c):
-                    for e in {epi, "*"}:
-                        if given:
-                            rows += [(r.project_id, r.id, f"i|{e}|{g[0]}|{v}", how) for g in given]
-                            rows += [(r.project_id, r.id, f"s|{e}|{g[:n]}|{v}", how) for g in given for n in (3, 4, 5) if len(g) > n]
-                            rows += [(r.project_id, r.id, f"n|{e}||{v}", how)]
-                        elif e == (epi or "*"):
-                            if r.short is not None and len(r.short):
-                                rows += [(r.project_id, r.id, f"s|{e}|{g}|{v}", how) for g in r.short]
-                            elif r.initials is not None and len(r.initials):
-                                rows += [(r.project_id, r.id, f"i|{e}|{g}|{v}", how) for g in r.initials]
-                            else:
-                                rows += [(r.project_id, r.id, f"n|{e}||{v}", how)]
-        yield pd.DataFrame(rows, columns=["project_id", "id", "form", "strength"]).drop_duplicates()
+                        rows.update((*who, f"p|{r.epi}|{d}~|{c}", NEAR, "") for d in (g, *_deletes(g)))
+                if given:
+                    rows.update((*who, f"n|{e}|{v}", OWNER, g) for e in {r.epi or "*", "*"} for v in near for g in given)
+                else:
+                    leads = [*r.short, *r.initials] or [""]
+                    rows.update((*who, f"n|{r.epi or '*'}|{v}", SEEKER, lead) for v in near for lead in leads)
+        yield pd.DataFrame(list(rows), columns=["nid", "project_id", "form", "role", "lead"])
 
 
-FORMS = "project_id string, id string, form string, strength string"
+def _keyed(forms: DataFrame) -> DataFrame:
+    """Forms as 128 bits of hash: what is shuffled is short and of fixed width."""
+    key = lambda n: F.xxhash64(F.lit(n), "project_id", "form").alias(f"k{n}")
+    return forms.select(key(1), key(2), "nid", "role", "lead")
 
 
 def distinct_spellings(entries: DataFrame) -> DataFrame:
@@ -321,61 +319,71 @@ def _with_nicknames(parsed: DataFrame, nickname: DataFrame) -> DataFrame:
     return parsed.join(more, ["project_id", "id"], "left").withColumn("given", F.array_union("given", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
 
 
+KEY = ["k1", "k2"]
+
+
 def _near_edges(parsed: DataFrame, forms: DataFrame, exact: DataFrame) -> DataFrame:
     """Edges (a, b) between exact identities that meet in a form with a letter left out.
 
     An identity that some entry spells in full and alike on both sides is sure: whoever shortens nothing and slips nowhere
-    else seldom makes one slip twice. Two sure identities are never joined by near forms; any other goes to the one sure identity that it shares most forms with,
-    and only those that meet none go together.
+    else seldom makes one slip twice. Two sure identities are never joined by near forms; any other goes to the one sure
+    identity that it shares most forms with, and only those that meet none go together.
     """
-    sure = parsed.where("sure AND size(given) <= 1").select("id").join(exact, "id").select("root").distinct().withColumn("sure", F.lit(True))
-    met = forms.where("strength IN ('strong', 'near')").select("project_id", "form", "id").join(exact, "id").select("project_id", "form", "root").distinct()
-    many = met.groupBy("project_id", "form").agg(F.count("*").alias("n")).where("n > 1").select("project_id", "form")
-    met = cut_lineage(met.join(many, ["project_id", "form"], "left_semi").join(sure, "root", "left"))
-    loose, held = met.where("sure IS NULL").select("project_id", "form", F.col("root").alias("a")), met.where("sure").select("project_id", "form", F.col("root").alias("b"))
-    shared = cut_lineage(loose.join(held, ["project_id", "form"]).groupBy("a", "b").agg(F.count("*").alias("n")))
+    sure = parsed.where("sure AND size(given) <= 1").select("nid").join(exact, "nid").select("root").distinct().withColumn("sure", F.lit(True))
+    met = forms.where(F.col("role") <= NEAR).select(*KEY, "nid").join(exact, "nid").select(*KEY, "root").distinct()
+    many = met.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY)
+    met = cut_lineage(met.join(many, KEY, "left_semi").join(sure, "root", "left"))
+    loose, held = met.where("sure IS NULL").select(*KEY, F.col("root").alias("a")), met.where("sure").select(*KEY, F.col("root").alias("b"))
+    shared = cut_lineage(loose.join(held, KEY).groupBy("a", "b").agg(F.count("*").alias("n")))
     best = shared.groupBy("a").agg(F.max("n").alias("n"))
-    to_sure = cut_lineage(shared.join(best, ["a", "n"]).groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("hi")).where("b = hi").select("a", "b"))
+    to_sure = shared.join(best, ["a", "n"]).groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("hi")).where("b = hi").select("a", "b")
     free = loose.join(shared.select("a").distinct(), "a", "left_anti")
-    stars = free.groupBy("project_id", "form").agg(F.min("a").alias("b"))
-    return to_sure.unionByName(free.join(stars, ["project_id", "form"]).where("a <> b").select("a", "b").distinct())
+    stars = free.groupBy(*KEY).agg(F.min("a").alias("b"))
+    return to_sure.unionByName(free.join(stars, KEY).where("a <> b").select("a", "b").distinct())
+
+
+def _weak_edges(forms: DataFrame, first: DataFrame) -> DataFrame:
+    """Edges (a, b) of entries without a given name: rarity is one over the number of identities that own the form."""
+    seekers = cut_lineage(forms.where(F.col("role") == SEEKER).select(*KEY, F.col("nid").alias("a"), F.col("lead").alias("begins")))
+    wanted = seekers.select(*KEY).distinct()
+    owners = forms.where(F.col("role") == OWNER).join(wanted, KEY, "left_semi").join(first, "nid").select(*KEY, "lead", "root").distinct()
+    met = cut_lineage(seekers.join(owners, KEY).where(F.col("lead").startswith(F.col("begins"))).groupBy("a").agg(F.min("root").alias("b"), F.max("root").alias("hi")))
+    to_owner = met.where("b = hi").select("a", "b")
+    lonely = seekers.join(met.select("a"), "a", "left_anti")
+    stars = lonely.groupBy(*KEY, "begins").agg(F.min("a").alias("b"))
+    return to_owner.unionByName(lonely.join(stars, [*KEY, "begins"]).where("a <> b").select("a", "b").distinct())
+
+
+def _roots(parsed: DataFrame, *edges: DataFrame) -> DataFrame:
+    """(nid, root) under all the given edges."""
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e)
+    return cut_lineage(components(parsed.select(F.col("nid").alias("id")), every).withColumnRenamed("id", "nid"))
 
 
 def link_entries(entries: DataFrame, nickname: DataFrame) -> DataFrame:
-    """entries -> (project_id, id, kind, root): entries with the same root name the same entity."""
+    """entries -> (project_id, id, kind, root): entries with the same root, the smallest of their ids, name the same entity."""
     spellings = cut_lineage(distinct_spellings(entries))
-    parsed = cut_lineage(_with_nicknames(cut_lineage(parse_spellings(spellings)), nickname))
-    forms = cut_lineage(parsed.mapInPandas(_forms, FORMS))
-    strong = forms.where("strength = 'strong'").select("project_id", "form", "id")
-    reps = strong.groupBy("project_id", "form").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    edges = strong.join(reps, ["project_id", "form"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    exact = cut_lineage(components(parsed, edges))
-    first = cut_lineage(components(parsed, exact.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(_near_edges(parsed, forms, exact))))
-
-    # weak forms: rarity is one over the number of identities that own the form
-    owners = (
-        forms.where("strength = 'owned'").join(first, "id")
-        .groupBy("project_id", "form").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    )
-    weak = forms.where("strength = 'weak'").select("project_id", "form", "id")
-    met = weak.join(owners, ["project_id", "form"], "left")
-    owned = met.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or(F.col("lo") != F.col("hi")).alias("shared"))
-    to_owner = owned.where("lo IS NOT NULL AND lo = hi AND NOT coalesce(shared, false)").select(F.col("id").alias("a"), F.col("lo").alias("b"))
-    lonely = met.where("lo IS NULL").select("project_id", "form", "id")
-    lone_reps = lonely.groupBy("project_id", "form").agg(F.min("id").alias("rep"))
-    to_lonely = (
-        lonely.join(lone_reps, ["project_id", "form"])
-        .join(to_owner.select(F.col("a").alias("id")), "id", "left_anti")
-        .join(to_owner.select(F.col("a").alias("rep")), "rep", "left_anti")
-        .where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    )
-    slips = _two_slips(parsed, first, spellings)
-    again = first.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(to_owner).unionByName(to_lonely).unionByName(slips).distinct()
-    final = components(parsed, again)
-    named = parsed.select("project_id", "id", "kind").join(final, "id")
+    # numbers stand for ids from here on; they are written with the rows, so they hold
+    parsed = cut_lineage(_with_nicknames(cut_lineage(parse_spellings(spellings)), nickname).withColumn("nid", F.monotonically_increasing_id()))
+    forms = cut_lineage(_keyed(parsed.mapInPandas(_forms, FORMS)))
+    strong = forms.where(F.col("role") == STRONG)
+    reps = strong.groupBy(*KEY).agg(F.min("nid").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    edges = strong.join(reps, KEY).where("nid <> rep").select(F.col("nid").alias("a"), F.col("rep").alias("b")).distinct()
+    exact = _roots(parsed, edges)
+    first = _roots(parsed, _as_edges(exact), _near_edges(parsed, forms, exact))
+    final = _roots(parsed, _as_edges(first), _weak_edges(forms, first), _two_slips(parsed, first, spellings))
+    named = parsed.select("nid", "project_id", "id", "kind").join(final, "nid")
+    names_of = named.groupBy("root").agg(F.min("id").alias("smallest"))
+    named = named.join(names_of, "root").select("project_id", "id", "kind", F.col("smallest").alias("root"))
     return spellings.select("id", "entry").join(named, "id").select("project_id", F.col("entry").alias("id"), "kind", "root")
 
 
+def _as_edges(roots: DataFrame) -> DataFrame:
+    return roots.where("nid <> root").select(F.col("nid").alias("a"), F.col("root").alias("b"))
+
+
 #: Names at least so long may differ by two slips on every side, where nothing else holds an entry.
 LONG_NAME = 8
 
@@ -392,12 +400,12 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 for s in scopes:
                     if not r.lost:
-                        rows.update((r.project_id, s, n, i, core[a : a + size], r.id, core, False) for i, (a, size) in enumerate(parts(n)))
+                        rows.update((r.project_id, s, n, i, core[a : a + size], r.nid, core, False) for i, (a, size) in enumerate(parts(n)))
                         continue
                     for m in range(n - 2, n + 3):
                         for i, (a, size) in enumerate(parts(m)):
-                            rows.update((r.project_id, s, m, i, core[p : p + size], r.id, core, True) for p in range(max(0, a - 2), min(n - size, a + 2) + 1))
-        yield pd.DataFrame(sorted(rows), columns=["project_id", "scope", "len", "part", "piece", "id", "core", "lost"])
+                            rows.update((r.project_id, s, m, i, core[p : p + size], r.nid, core, True) for p in range(max(0, a - 2), min(n - size, a + 2) + 1))
+        yield pd.DataFrame(sorted(rows), columns=["project_id", "scope", "len", "part", "piece", "nid", "core", "lost"])
 
 
 def _two_slips(parsed: DataFrame, first: DataFrame, spellings: DataFrame) -> DataFrame:
@@ -407,19 +415,19 @@ def _two_slips(parsed: DataFrame, first: DataFrame, spellings: DataFrame) -> Dat
     only where all that is met is one identity.
     """
     sizes = first.groupBy("root").agg(F.count("*").alias("n"))
-    single = first.join(sizes.where("n = 1"), "root", "left_semi").select("id")
+    single = first.join(sizes.where("n = 1"), "root", "left_semi").select("nid")
     # copies of a spelling speak for it
     copied = spellings.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1").select("id")
     one_sided = spellings.where("source_term IS NULL").select("id").distinct()
-    alone = parsed.join(single.join(copied, "id", "left_anti"), "id", "left_semi")
-    looking = alone.where("size(cores) > 1").select("id").unionByName(alone.join(one_sided, "id", "left_semi").select("id")).distinct()
-    marked = parsed.join(looking.withColumn("lost", F.lit(True)), "id", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
-    cut = cut_lineage(marked.select("project_id", "id", "kind", "what", "ord", "epi", "cores", "given", "lost").mapInPandas(
-        _pieces, "project_id string, scope string, len int, part int, piece string, id string, core string, lost boolean"))
+    alone = parsed.join(single, "nid", "left_semi").join(copied, "id", "left_anti")
+    looking = alone.where("size(cores) > 1").select("nid").unionByName(alone.join(one_sided, "id", "left_semi").select("nid")).distinct()
+    marked = parsed.join(looking.withColumn("lost", F.lit(True)), "nid", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+    cut = cut_lineage(marked.select("project_id", "nid", "kind", "what", "ord", "epi", "cores", "given", "lost").mapInPandas(
+        _pieces, "project_id string, scope string, len int, part int, piece string, nid long, core string, lost boolean"))
     key = ["project_id", "scope", "len", "part", "piece"]
     met = (
-        cut.where("lost").select(*key, F.col("id").alias("a"), F.col("core").alias("ca")).join(cut.where("NOT lost").select(*key, "id", "core"), key)
-        .where(F.levenshtein("ca", "core", 2) >= 0).select("a", "id").distinct().join(first, "id")
+        cut.where("lost").select(*key, F.col("nid").alias("a"), F.col("core").alias("ca")).join(cut.where("NOT lost").select(*key, "nid", "core"), key)
+        .where(F.levenshtein("ca", "core", 2) >= 0).select("a", "nid").distinct().join(first, "nid")
     )
     return met.groupBy("a").agg(F.min("root").alias("b"), F.max("root").alias("hi")).where("b = hi").select("a", "b")
 
