@@ -32,7 +32,7 @@ def host_markup(path: str | None, text: str, tokens: list[dict]) -> str:
     try:
         inner = xhtml.rebuild(text, tokens)
     except xhtml.BrokenMarks:
-        inner = escape(xhtml.MARK.sub("", text), quote=False)
+        inner = xhtml.rebuild(xhtml.MARK.sub("", text), [])
     tag = host_tag(path)
     return f"<{tag}>{inner}</{tag}>"
 

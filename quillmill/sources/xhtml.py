@@ -208,7 +208,8 @@ class BrokenMarks(ValueError):
 def rebuild(text: str, tokens: list[dict]) -> str:
     """The inverse of `placeholderize`, as markup; raises BrokenMarks where marks do not pair up."""
     out, open_marks, at = [], [], 0
-    esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    # &lt; and &gt; would come back as entity tokens, numbers come back as text
+    esc = lambda s: s.replace("&", "&amp;").replace("<", "&#60;").replace(">", "&#62;")
     for m in MARK.finditer(text):
         out.append(esc(text[at : m.start()]))
         at, k = m.end(), int(m.group(2))
@@ -222,7 +223,7 @@ def rebuild(text: str, tokens: list[dict]) -> str:
         elif tok["kind"] == "entity":
             out.append(tok["tag"])
         else:
-            attrs = "".join(f' {a}="{esc(v)}"'.replace("\n", "&#10;") for a, v in tok["attrs"].items())
+            attrs = "".join(f' {a}="{esc(v).replace(chr(34), '&#34;')}"'.replace("\n", "&#10;") for a, v in tok["attrs"].items())
             out.append(f"<{tok['tag']}{attrs}{'/' if tok['kind'] == 'void' else ''}>")
             if tok["kind"] == "pair":
                 open_marks.append(k)

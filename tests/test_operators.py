@@ -261,3 +261,40 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
         if totals[r["user_id"]] > 500.0:
             expect.setdefault(r["user_id"], r["event_id"])
     assert trips == expect
+
+
+def test_epub_sink_round_trip(spark):
+    from quillmill.sources import epub_sink
+
+    p = spark.createDataFrame([("p", "A & B", "pt")], "id string, name string, target_lang string")
+    c = spark.createDataFrame([("c1", "p", 3, "t/1.xhtml", "One"), ("c2", "p", 7, "t/2.xhtml", None), ("c3", "p", 9, "t/3.xhtml", None)], "id string, project_id string, spine_idx int, href string, title string")
+    skel = '[{"tag":"em","kind":"pair","attrs":{"class":"x\\"y"}},{"tag":"br","kind":"void","attrs":{}}]'
+    s = spark.createDataFrame([("b", "c1", 1, "Two < 3", None, None, "/html/body/p[2]"), ("a", "c1", 0, "src", "[[T0]]Um[[/T0]][[T1]] & dois", skel, "/html/body/h2"), ("d", "c2", 0, "broken [[T5]] mark", None, None, None)],
+                              "id string, chapter_id string, idx int, source_text string, target_text string, inline_skeleton string, host_path string")
+    old, epub_sink.VOLUME_CHAPTERS = epub_sink.VOLUME_CHAPTERS, 2
+    try:
+        files = epub_sink.volumes(p, c, s).cache()
+        assert sorted(r["path"] for r in files.collect()) == ["p-0.epub", "p-1.epub"]
+    finally:
+        epub_sink.VOLUME_CHAPTERS = old
+    got = sorted((r["doc"], r["idx"], r["source_text"]) for r in epub.segments(files).collect())
+    assert got == [("p-0.epub#0", 0, "[[T0]]Um[[/T0]][[T1]] & dois"), ("p-0.epub#0", 1, "Two < 3"), ("p-0.epub#1", 0, "broken  mark")]
+    assert {r["title"] for r in epub.metadata(files).collect()} == {"A & B"}
+
+
+def test_book_positions(spark):
+    rng = random.Random(8)
+    ch = [(f"c{k}", "p" if k < 6 else "q", rng.randint(0, 99)) for k in range(10)]
+    seg = [(f"s{k:03d}", rng.choice(ch)[0], rng.randint(0, 20)) for k in range(200)]
+    spine = {c: (p, n) for c, p, n in ch}
+    want: dict = {}
+    for book in "pq":
+        rows = sorted((spine[c][1], c, i, s) for s, c, i in seg if spine[c][0] == book)
+        want |= {r[3]: k for k, r in enumerate(rows, 1)}
+    got = reads.book_positions(spark.createDataFrame(seg, "id string, chapter_id string, idx int"), spark.createDataFrame(ch, "id string, project_id string, spine_idx int"))
+    assert {r["id"]: r["position"] for r in got.collect()} == want
+
+
+def test_scripted_model():
+    m = calls.ScriptedModel(["a"], None, lambda p: p.upper())
+    assert [m("x"), m("x")] == ["a", "X"] and m.calls == 2 and calls.ScriptedModel(fixed="f")("x") == "f"
