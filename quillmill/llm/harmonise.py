@@ -54,7 +54,7 @@ def _is_plain(text: Column) -> Column:
 
 
 def harmonise(rows: DataFrame) -> DataFrame:
-    """rows(table_name, id, raw) -> (table_name, id, raw, form), one row for each given row."""
+    """rows(table_name, id, raw) -> (table_name, id, raw, form); given rows that are equal may come out once."""
     rows = rows.select(F.col("table_name").cast("string"), F.col("id").cast("string"), F.col("raw").cast("string"))
     plain = rows.where(_is_plain(F.col("raw"))).withColumn("form", F.col("raw"))
     rest = rows.where(F.coalesce(~_is_plain(F.col("raw")), F.lit(True)))
