@@ -43,14 +43,27 @@ def _boundaries(text: str) -> list[list[int]]:
     return [sorted({m.end() for m in rx.finditer(text) if 0 < m.end() < len(text) and free(m.end())}) for rx in (_PARAGRAPH, _SENTENCE, _CLAUSE, _SPACE)]
 
 
-def _outside(k: int, marks: list[tuple[int, int]], starts: list[int], low: int) -> int:
-    """`k`, or the start of the mark that holds it, if that lies after `low`."""
+def _outside(k: int, marks: list[tuple[int, int]], starts: list[int], low: int, high: int) -> int:
+    """`k`, or where the mark that holds it starts, if that lies after `low`, or ends, if that is not beyond `high`."""
     at = bisect_left(starts, k) - 1
-    if at >= 0 and marks[at][0] < k < marks[at][1] and marks[at][0] > low:
-        return marks[at][0]
+    if at >= 0 and marks[at][0] < k < marks[at][1]:
+        a, b = marks[at]
+        return a if a > low else b if b <= high else k
     return k
 
 
+def _plain_cuts(n: int, limit: int, marks: list[tuple[int, int]], starts: list[int]) -> list[tuple[int, int]]:
+    """Full pieces one after the other, outside marks: what always works."""
+    out, start = [], 0
+    while start < n:
+        cut = min(n, start + limit)
+        if cut < n:
+            cut = _outside(cut, marks, starts, start, start + limit)
+        out.append((start, cut))
+        start = cut
+    return out
+
+
 def split(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int]]:
     """(start, end) of each piece of a text longer than `limit`; the pieces cover the text."""
     n = len(text)
@@ -69,6 +82,9 @@ def split(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int]]:
             target = cut_before + mean
             # a cut must keep this piece within the limit and leave no more than the rest can hold
             high = start + limit
+            at = bisect_left(starts, cut_before)
+            if at < len(starts) and starts[at] == cut_before and marks[at][1] > high:
+                start, high = cut_before, cut_before + limit  # the overlap would leave no room for the next mark
             low = max(cut_before + 1, n - (left - 1) * (limit - overlap))
             low = min(low, high)
             cut = None
@@ -80,7 +96,7 @@ def split(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int]]:
                     cut = min((places[x] for x in (near - 1, near) if i <= x < j), key=lambda p: (abs(p - target), p))
                     break
             if cut is None:
-                cut = _outside(int(min(high, max(low, target))), marks, starts, cut_before)
+                cut = _outside(int(min(high, max(low, target))), marks, starts, cut_before, high)
             pieces.append((start, cut))
             cut_before = cut
             start = _restart(text, pieces[-1][0], cut, overlap, kinds, marks, starts)
@@ -90,7 +106,7 @@ def split(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int]]:
             pieces.append((start, n))
         ok = all(b - a <= limit for a, b in pieces)
         if ok or count >= n:
-            return pieces if ok else [(k, min(n, k + limit)) for k in range(0, n, limit)]
+            return pieces if ok else _plain_cuts(n, limit, marks, starts)
         count += 1
 
 
