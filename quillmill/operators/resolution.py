@@ -74,7 +74,7 @@ def near_duplicates(entries: DataFrame) -> DataFrame:
     node = lambda s, k: F.concat_ws("\u0001", s, k)
     edges = fuzzy_edges(keys).select(node("scope", "a").alias("a"), node("scope", "b").alias("b"))
     roots = components(keys.select(node("scope", "key").alias("id")), edges).withColumnRenamed("id", "node")
-    labelled = keyed.withColumn("node", node("project_id", "key")).join(roots, "node").withColumn("root", F.element_at(F.split("root", "\u0001"), 2))
+    labelled = keyed.withColumn("node", node("project_id", "key")).join(roots, "node").withColumn("root", F.element_at(F.split("root", "\u0001", 2), 2))
     labelled = cut_lineage(labelled.select("project_id", "root", "id", "status", "type"))
     groups = labelled.groupBy("project_id", "root").agg(F.min_by("id", winner_rank()).alias("winner"), F.count("*").alias("n")).where("n > 1")
     return labelled.select("project_id", "root", "id").join(groups, ["project_id", "root"]).select("project_id", "root", "id", "winner")

@@ -121,14 +121,10 @@ _KEYED = f"""
 """
 
 
-def _plain(t: Tables) -> DataFrame:
-    """Entries whose key is ASCII: DuckDB counts edits in bytes."""
-    return t.glossary.where(terms.key_side(F.col("source_term"), F.col("target_term")).rlike(r"^[\x20-\x7e]+$"))
-
-
+# The SQL answers for entries whose key side is plain ASCII, as DuckDB counts edits in bytes; the queries take all.
 @query("e01_g05_g07_canonical_keys", sql("gloss", _KEYED + " SELECT id, key FROM keyed"))
 def e01(t: Tables) -> DataFrame:
-    return resolution.canonical_keys(_plain(t)).select("id", "key")
+    return resolution.canonical_keys(t.glossary).select("id", "key")
 
 
 _EDGES = _KEYED + """
@@ -140,7 +136,7 @@ _EDGES = _KEYED + """
 
 @query("e02_g06_j13_fuzzy_edges", sql("gloss", _EDGES + " SELECT * FROM e"))
 def e02(t: Tables) -> DataFrame:
-    keys = resolution.canonical_keys(_plain(t)).select(F.col("project_id").alias("scope"), "key").distinct()
+    keys = resolution.canonical_keys(t.glossary).select(F.col("project_id").alias("scope"), "key").distinct()
     return resolution.fuzzy_edges(keys)
 
 
@@ -151,7 +147,7 @@ def e02(t: Tables) -> DataFrame:
     l AS (SELECT k.*, r.root, count(*) OVER (PARTITION BY k.project_id, r.root) AS n FROM keyed k JOIN root r ON r.scope = k.project_id AND r.key = k.key)
     SELECT project_id, root, id, first_value(id) OVER (PARTITION BY project_id, root ORDER BY CASE status WHEN 'locked' THEN 0 WHEN 'confirmed' THEN 1 WHEN 'proposed' THEN 2 ELSE 99 END, type = 'term', id) AS winner FROM l WHERE n > 1"""))
 def e03(t: Tables) -> DataFrame:
-    return resolution.near_duplicates(_plain(t))
+    return resolution.near_duplicates(t.glossary)
 
 
 @query("e06_merge_aliases")
@@ -168,5 +164,5 @@ def e06b(t: Tables) -> DataFrame:
     , held AS (SELECT DISTINCT ON (project_id, key) project_id, key, id AS held_id FROM keyed WHERE status <> 'proposed' ORDER BY project_id, key, source_term NULLS FIRST, id)
     SELECT k.project_id, k.key, k.id, h.held_id FROM keyed k LEFT JOIN held h ON h.project_id = k.project_id AND h.key = k.key WHERE k.status = 'proposed'"""))
 def e07(t: Tables) -> DataFrame:
-    g = _plain(t)
+    g = t.glossary
     return resolution.canonical_lookup(g.where("status = 'proposed'"), g.where("status <> 'proposed'")).select("project_id", "key", "id", "held_id")
