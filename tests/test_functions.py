@@ -19,6 +19,14 @@ def test_canonical_form(spark, raw, out):
     assert one(spark, terms.canonical_form(F.col("t")), t=raw) == out
 
 
+@pytest.mark.parametrize("raw, out", [
+    ("ＦＩＦＡ", "fifa"), ("\ufb01fa", "fifa"), ("Bohe\u0301mia", "bohémia"), ("House\u00a0Stark", "house stark"), ("Elise\u2026", "elise"), ("Foo\uff08BAR\uff09", "foo"),
+    ("Acme Ｃｏｍｐａｎｙ．", "acme"), ("ﾊﾟﾘ", "パリ"), ("\u3000", ""), ("A\u2460", "a1"), (None, ""),
+])
+def test_canonical_form_of_compatibility_characters(spark, raw, out):
+    assert one(spark, terms.canonical_form(F.col("t").cast("string")), t=raw) == out
+
+
 @pytest.mark.parametrize("raw, out", [
     ("1066", True), ("1939-1945", True), ("1939–1945", True), ("1990s", True), ("1066 AD", True), ("c. 1066", True), ("(1066)", True), ("World War 1939", False),
     ("Apollo 11", False), ("12345", False), ("", False), ("circa 1905.", True),

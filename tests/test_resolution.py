@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import terms
-from quillmill.operators import resolution
+from quillmill.operators import dml, resolution
 from quillmill.plans import registry
 from quillmill.plans.views import Tables
 from tests.oracle import compare
@@ -90,6 +90,29 @@ def test_queries_take_every_script(spark, tmp_path):
     check(spark, tmp_path, rows)
 
 
+SPELLINGS = [
+    "FIFA", "ＦＩＦＡ", "\ufb01fa", "Bohémia", "Bohe\u0301mia", "House Stark", "House\u00a0Stark", "Ｈｏｕｓｅ\u3000Stark．", "パリ", "ﾊﾟﾘ", "Acme", "Acme Ｃｏｍｐａｎｙ", "Foo\uff08Bar\uff09", "foo", "Ⅳ", "iv", "\u3000",
+]
+
+
+def test_queries_join_compatible_spellings(spark, tmp_path):
+    rows = glossary(spark, tmp_path, SPELLINGS)
+    check(spark, tmp_path, rows)
+    keys = {r[3] or r[4]: r[6] for r in rows if r[1] == "p"}
+    assert keys["FIFA"] == keys["ＦＩＦＡ"] == keys["\ufb01fa"] == "fifa" and keys["House Stark"] == keys["Ｈｏｕｓｅ\u3000Stark．"]
+
+
+def test_merges_and_upserts_join_compatible_spellings(spark):
+    e = spark.createDataFrame([("a", "p", "place", "FIFA", "f", "locked"), ("b", "p", "term", "ＦＩＦＡ", "g", "proposed"), ("c", "p", "term", "\ufb01fa", "h", "proposed")], "id string, project_id string, type string, source_term string, target_term string, status string")
+    none = spark.createDataFrame([], "entry_id string, side string, text string")
+    left, aliases = resolution.merge(e, none, resolution.near_duplicates(e))
+    assert [r["id"] for r in left.collect()] == ["a"]
+    assert {(r["entry_id"], r["text"]) for r in aliases.where("side = 'source'").collect()} == {("a", "ＦＩＦＡ"), ("a", "\ufb01fa")}
+    p = spark.createDataFrame([("p", "ＦＩＦＡ", "term", "x"), ("p", "Ｎｅｗ", "term", "x"), ("p", "New", "term", "x")], "project_id string, source_term string, type string, target_term string")
+    up = {r["source_term"]: (r["action"], r["entry_id"]) for r in dml.upsert_proposals(e.where("id = 'a'").withColumn("created_at", F.lit(1)), p).collect()}
+    assert up == {"ＦＩＦＡ": ("alias", "a"), "New": ("create", None)}
+
+
 def _ascii(spark, sf):
     return Tables(spark, sf).glossary.where(terms.key_side(F.col("source_term"), F.col("target_term")).rlike(r"^[\x20-\x7e]+$"))
 
