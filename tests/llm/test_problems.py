@@ -197,11 +197,49 @@ def test_p3_shortened_neighbour(spark):
     assert [tuple(r) for r in responses.defects(*args).collect()] == [("translator_trace", "short", "truncated")]
 
 
+def test_p3_short_answers_meet_longer_ones(spark):
+    """An answer of a few letters, whole-looking, beside the one that goes on."""
+    src = "The boat took the letter. The road left the bell with great care."
+    args = frames(spark, corpus() + [seg("s", src, "Sí. El camino dejó la campana con mucho cuidado.")], [("short", "s", "p", "m", "Sí.", "c"), ("other", "s", "p", "m", "El barco tomó la carta. El camino dejó la campana con mucho cuidado.", "c")])
+    assert [tuple(r) for r in responses.defects(*args).collect()] == [("translator_trace", "short", "truncated")]
+    assert [(r["record_id"], r["shortened"]) for r in responses.truncated(*args).collect()] == [("short", True)]
+
+
+def test_p3_arithmetic_and_broken_marks(spark):
+    rows = corpus() + [seg("sum", "3 x 52 = 5", "3 x 52 = 5"), seg("mark", "[[T0]]The boat[[/T0]] [[T1]] & the road.", "[[T0]]…[[/T0]][[T1]&am")]
+    assert {tuple(r) for r in responses.defects(*frames(spark, rows)).collect()} == {("segment", "mark", "truncated")}
+
+
+def test_p3_longer_versions_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = {("hot" if rng.random() < 0.6 else f"s{rng.randint(0, 9)}", "".join(rng.choices("ab ", k=rng.randint(0, 9)))) for _ in range(600)} | {("s1", "x"), ("s2", "xy"), (None, "x")}
+    got = {tuple(r) for r in responses.longer_versions(spark.createDataFrame(list(rows), "segment_id string, text string")).collect()}
+    assert got == {(s, t) for s, t in rows if s is not None and t and any(s == s2 and u != t and u.startswith(t) for s2, u in rows)}
+
+
+def judged_lengths(spark, rows):
+    """rows(table, owner, id, length, open) as judged records without another defect."""
+    return spark.createDataFrame([(*r[:4], r[3], None, r[4]) for r in rows], "table_name string, owner string, record_id string, length int, bytes int, defect string, open boolean")
+
+
+def significant(spark, rows):
+    h = responses.length_hazards(responses.ends_by_length(judged_lengths(spark, rows)))
+    return {(r["owner"], r["cause"], r["length"]) for r in h.where("significant AND unit = 'chars'").collect()}
+
+
 def test_p5_hazards_find_a_field_limit(spark):
     rng = random.Random(5)
-    rows = [("segment", "p", f"r{k}", min(100, rng.randint(20, 160))) for k in range(400)] + [("segment", "q", f"r{k}", rng.randint(20, 160)) for k in range(400)]
-    h = responses.length_hazards(spark.createDataFrame(rows, "table_name string, owner string, record_id string, length int"))
-    assert [(r["owner"], r["length"]) for r in h.where("significant").collect()] == [("p", 100)]
+    rows = [("segment", "p", f"p{k}", min(100, rng.randint(20, 160)), False) for k in range(400)] + [("segment", "q", f"q{k}", rng.randint(20, 160), False) for k in range(400)]
+    assert significant(spark, rows) == {("p", "any", 100), (None, "any", 100)}
+
+
+def test_p5_hazards_of_incomplete_ends(spark):
+    """Few cut values among many whole ones: the hazard of incomplete ends shows them, and a limit shared by many small sources shows over the table."""
+    rng = random.Random(6)
+    rows = [("segment", "p", f"w{k}", rng.randint(20, 160), False) for k in range(3000)] + [("segment", "p", f"c{k}", 120, True) for k in range(6)] + [("segment", "p", f"o{k}", rng.randint(20, 160), True) for k in range(20)]
+    assert ("p", "incomplete", 120) in significant(spark, rows) and ("p", "any", 120) not in significant(spark, rows)
+    many = [("translator_trace", f"m{k % 50}", f"w{k}", rng.randint(20, 160), False) for k in range(3000)] + [("translator_trace", f"m{k}", f"c{k}", 120, True) for k in range(12)]
+    assert {(o, c, n) for o, c, n in significant(spark, many) if c == "incomplete"} == {(None, "incomplete", 120)}
 
 
 # ---------------------------------------------------------------- 4
