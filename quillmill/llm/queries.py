@@ -72,6 +72,11 @@ def p6_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.helper_calls(*_read(spark, sf_dir, "segment", "intake_options"))
 
 
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each chapter has of each call, beside its target."""
+    return packing.call_shares(packing.helper_calls(*_read(spark, sf_dir, "segment", "intake_options")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.token_ids(*_read(spark, sf_dir, "documents"))
 
@@ -97,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_unified, p2_found, p2_entities, p3_found, p4_found, p4_pieces, p5_found, p5_rates,
-        p6_found, p6_calls, p7_ids, p8_mix, p8_shares, p9_found, p9_levels,
+        p6_found, p6_calls, p6_shares, p7_ids, p8_mix, p8_shares, p9_found, p9_levels,
     )
 }
 

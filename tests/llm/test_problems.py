@@ -298,10 +298,50 @@ def test_p6_empty(spark):
 
 def test_p6_mixture_follows_shares():
     items = [(q, f"{q}{k}", 0, 5) for q, n in (("a", 300), ("b", 100)) for k in range(n)]
-    done, rest, _ = packing.pack(items, 100, {}, True)
+    done, rest, _ = packing.pack(items, 100, {"a": 0.75, "b": 0.25}, {})
     assert not rest and len(done) == 20
     for w in done[:-2]:
         assert 13 <= sum(x[0] == "a" for x in w) <= 17
+    # wanted proportions other than what waits hold while both sources last, and deficits are carried without a cap
+    done, _, _ = packing.pack(items, 100, {"a": 0.5, "b": 0.5}, {})
+    assert [sum(x[0] == "a" for x in w) for w in done[:9]] == [10] * 9
+    done, _, _ = packing.pack(items, 100, {"a": 0.75, "b": 0.25}, {"b": 1000.0})
+    assert sum(x[0] == "b" for w in done[:5] for x in w) == 100
+
+
+def test_p6_big_items_stay_bounded(spark):
+    """Items of over half a capacity never share a window; still no level hands a task more than a shard's worth."""
+    for rng in (random.Random(1), random.Random(2)):
+        items = [("a", f"i{k}", 0, rng.randint(51, 90)) for k in range(4000)]
+        done, rest, _ = packing.pack(items, 100, {"a": 1.0}, {}, packing.SHARD_ITEMS // packing.FAN_IN)
+        assert len(rest) <= packing.SHARD_ITEMS // packing.FAN_IN and len(done) + len(rest) == 4000
+    s = spark.createDataFrame([seg(f"s{k:05d}", "x" * 240, chapter=f"c{k % 3}") for k in range(3000)], SEGMENT)
+    opts = spark.createDataFrame([("p", 100)], "project_id string, chunk_max_tokens int")
+    old, packing.SHARD_ITEMS, packing.FAN_IN = (packing.SHARD_ITEMS, packing.FAN_IN), 40, 4
+    try:
+        calls = packing.helper_calls(s, opts).collect()
+    finally:
+        packing.SHARD_ITEMS, packing.FAN_IN = old
+    assert len(calls) == 3000 == len({c["call_id"] for c in calls}) == len({c["segment_id"] for c in calls})
+
+
+def test_p6_salted_join_deals_alike(spark):
+    rows = [seg(f"s{k:04d}", "x" * (k % 90), project=f"p{k % 5}") for k in range(500)]
+    opts = spark.createDataFrame([(f"p{k}", 50) for k in range(5)], "project_id string, chunk_max_tokens int")
+    calls = lambda: sorted(map(tuple, packing.helper_calls(spark.createDataFrame(rows, SEGMENT), opts).collect()))
+    first, old, packing.BROADCAST_PROJECTS = calls(), packing.BROADCAST_PROJECTS, 1
+    try:
+        assert calls() == first and len(first) == 500
+    finally:
+        packing.BROADCAST_PROJECTS = old
+
+
+def test_p6_given_shares(spark):
+    rows = [seg(f"s{k:04d}", "x" * 40, chapter="ab"[k % 4 == 0]) for k in range(400)]
+    opts = spark.createDataFrame([("p", 100)], "project_id string, chunk_max_tokens int")
+    wanted = spark.createDataFrame([("p", "a", 0.5), ("p", "b", 0.5), ("p", "c", None), ("p", None, 3.0)], "project_id string, chapter_id string, share double")
+    got = packing.call_shares(packing.helper_calls(spark.createDataFrame(rows, SEGMENT), opts, wanted)).where("chapter_id = 'b'").collect()
+    assert len(got) == 20 and all(r["share"] == 0.5 == r["target_share"] and r["fill"] == 1 for r in got)
 
 
 # ---------------------------------------------------------------- 7
