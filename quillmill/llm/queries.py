@@ -31,6 +31,11 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonise.harmonise(_texts(spark, sf_dir)).select("table_name", "id", "form").distinct()
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record with others that look the same: its class, and how many of them are written otherwise."""
+    return harmonise.look_alike_classes(harmonise.harmonise(_texts(spark, sf_dir)))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.entity_pairs(names.link_entries(*_read(spark, sf_dir, "glossary_entry", "nickname")))
 
@@ -101,7 +106,7 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_unified, p2_found, p2_entities, p3_found, p4_found, p4_pieces, p5_found, p5_rates,
+        p1_found, p1_unified, p1_classes, p2_found, p2_entities, p3_found, p4_found, p4_pieces, p5_found, p5_rates,
         p6_found, p6_calls, p6_shares, p7_ids, p8_mix, p8_shares, p9_found, p9_levels,
     )
 }
