@@ -47,6 +47,11 @@ def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.join(sizes, "root").select("project_id", "id", "kind", F.col("root").alias("entity_id"), "entries")
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What entries meet in, with the rarity that decides whether they are linked."""
+    return names.scored_links(*_read(spark, sf_dir, "glossary_entry", "nickname"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.defects(*_read(spark, sf_dir, "segment", "translator_trace", "project"))
 
@@ -106,7 +111,7 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_unified, p1_classes, p2_found, p2_entities, p3_found, p4_found, p4_pieces, p5_found, p5_rates,
+        p1_found, p1_unified, p1_classes, p2_found, p2_entities, p2_links, p3_found, p4_found, p4_pieces, p5_found, p5_rates,
         p6_found, p6_calls, p6_shares, p7_ids, p8_mix, p8_shares, p9_found, p9_levels,
     )
 }

@@ -111,6 +111,7 @@ NICK = "given_name string, nickname string, id string"
 
 
 def linked(spark, entries, nick=(("Robert", "Bob", "x"),)):
+    """Linked pairs of entries (id, project, type, source, target)."""
     e = spark.createDataFrame([(i, p, k, s, u, None, "clash", "clash") for i, p, k, s, u in entries], ENTRY)
     out = names.entity_pairs(names.link_entries(e, spark.createDataFrame(list(nick), NICK)))
     return sorted(map(tuple, out.collect()))
@@ -151,6 +152,35 @@ def test_p2_near_namesakes_and_double_slips(spark):
     assert linked(spark, rows) == [("a", "c"), ("b", "d"), ("e", "f"), ("g", "h"), ("i", "j")]
 
 
+def test_p2_different_entities_stay_apart(spark):
+    two = lambda i, t, *names: [(f"{i}{k}", i, t, n, n) for k, n in enumerate(names)]
+    rows = (
+        two("a", "place", "North Carolina", "South Carolina") + two("b", "organization", "Bank of England", "Church of England") + two("c", "organization", "Acme Limited", "Nova Limited")
+        + two("d", "character", "George H. W. Bush", "George W. Bush") + two("e", "character", "Captain Ana Moreno", "Doctor Ana Moreno", "Ana Moreno")
+        + two("f", "organization", "Acme GmbH", "Acme Ltd") + two("g", "place", "Lake Olmen", "Olmen River")
+    )
+    assert linked(spark, rows) == []
+
+
+def test_p2_ordinary_variants_are_linked(spark):
+    two = lambda i, t, *names: [(f"{i}{k}", i, t, n, n) for k, n in enumerate(names)]
+    rows = (
+        two("a", "organization", "Acme Ltd", "Acme Limited", "Acme Ltd.", "Acme") + two("b", "character", "Ana Perez", "Ana Peres") + two("c", "place", "the Hague", "The Hague")
+        + [("d0", "d", "character", "Ana Olem", "Ana Olem"), ("d1", "d", "character", "Ana Oelm", "Ana Olem")] + two("e", "organization", "Nova S.A.", "Nova SA")
+        + two("f", "character", "Captain Ana Moreno", "Ana Moreno") + two("g", "place", "Carolina, North", "North Carolina")
+    )
+    assert linked(spark, rows) == sorted(
+        [*itertools.combinations(["a0", "a1", "a2", "a3"], 2), ("b0", "b1"), ("c0", "c1"), ("d0", "d1"), ("e0", "e1"), ("f0", "f1"), ("g0", "g1")])
+
+
+def test_p2_rarity_decides(spark):
+    rows = [("a", "p", "character", "Robert Morwen", "Robert Morwen"), ("b", "p", "character", "Dorothea Morwen", "Dorothea Morwen"), ("c", "p", "character", "Morwen", "Morwen"), ("d", "p", "character", "R. Morwen", "R. Morwen")]
+    e = spark.createDataFrame([(i, p, k, s, u, None, "clash", "clash") for i, p, k, s, u in rows], ENTRY)
+    got = {(r["id"], r["form"], r["rarity"], r["linked"]) for r in names.scored_links(e, spark.createDataFrame([], NICK)).collect()}
+    assert ("c", "weak", 0.5, False) in got and ("d", "weak", 1.0, True) in got
+    assert linked(spark, rows, []) == [("a", "d")]
+
+
 def test_p2_edges(spark):
     rows = [("a", "p", "character", "", ""), ("b", "p", "character", None, "..."), ("c", None, "character", "Ann Orlandsen", "Ann Orlandsen"), ("d", "p", None, "x", "y"),
             ("e", "p", "character", "Ann Orlandsen", "Ann Orlandsen"), ("e", "p", "character", "Ann Orlandsen", "Ann Orlandsen"), ("f", "p", "character", "Ann " + "Orlandsen" * 200, "Ann Orlandsen")]
