@@ -25,15 +25,36 @@ from quillmill.runtime import cut_lineage
 
 BINS = 4096
 SEED = 20
-#: Targets of at most so many sources are broadcast (a short row a source).
+#: Targets of at most so many sources are broadcast (a short row a source); beyond, rows are joined under salts.
 BROADCAST_SOURCES = 10_000
+SALTS = 64
 
 
 def quality_weight(text=None):
-    """Weight of a document in (0, 1]: share of letters and blanks in its text; control characters and mark-up lower it."""
+    """Weight of a document in (0, 1], from three signs of running text.
+
+    The share of letters, blanks and common marks (mark-up and control characters lower it); the variety of its words
+    against what a text of that length has (distinct words grow about as the 0.7th power; repeated boilerplate has
+    fewer); and the share of words of usual length (long runs without blanks lower it; script without blanks is exempt).
+    """
     text = F.coalesce(F.col("text") if text is None else text, F.lit(""))
-    plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\s.,;:!?'\"()-]", ""))
-    return F.greatest(F.lit(0.05), F.coalesce(plain / F.nullif(F.length(text), F.lit(0)), F.lit(0.05)))
+    size = F.length(text)
+    plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\s.,;:!?'\"()-]", "")) / size
+    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    n = F.size(words)
+    variety = F.least(F.lit(1.0), F.size(F.array_distinct(F.transform(words, F.lower))) / F.pow(n, F.lit(0.7)))
+    unspaced = F.length(F.regexp_replace(text, r"[^\u3041-\u30ff\u4e00-\u9fff]", "")) / size
+    usual = F.size(F.filter(words, lambda w: F.length(w) <= 25)) / n
+    shape = F.when(unspaced > 0.2, F.lit(1.0)).when(n > 0, variety * usual).otherwise(F.lit(0.05))
+    return F.when(size == 0, F.lit(0.05)).otherwise(F.greatest(F.lit(0.05), plain * shape))
+
+
+def _with_source(rows: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
+    """rows joined with a row per source; no source is gathered in one task."""
+    if few:
+        return rows.join(F.broadcast(per_source), "source")
+    salted = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["source", "_salt"]).drop("_salt")
 
 
 def sized_documents(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -47,8 +68,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     """(doc_id, source, tokens, copies): how often each document goes into the mix, for those that do."""
     wanted = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats >= 1").select("source", "target_share", "max_repeats")
     few = wanted.count() <= BROADCAST_SOURCES
-    listed = F.broadcast(wanted) if few else wanted
-    sized = cut_lineage(sized_documents(documents.join(listed.select("source"), "source", "left_semi"), folder))
+    sized = cut_lineage(sized_documents(_with_source(documents.select("doc_id", "source", "text"), wanted.select("source").distinct(), few), folder))
     sizes = sized.groupBy("source").agg(F.sum("tokens").alias("size"))
     plan = wanted.join(sizes.where("size > 0"), "source")
     most = plan.agg(F.min(F.col("max_repeats") * F.col("size") / F.col("target_share")).alias("t")).first()["t"] or 0.0
@@ -60,8 +80,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     ).withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("size")).otherwise(0.0))
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     # the order of -ln(u)/w is that of 1 - u^(1/w), which lies in (0, 1) and so falls into bins
-    # a join on the source would gather a hot source in one task
-    keyed = sized.join(F.broadcast(plan) if few else plan, "source").withColumn("key", 1 - F.pow(unit, 1 / F.col("weight"))).withColumn("bin", F.floor(F.col("key") * BINS).cast("int"))
+    keyed = _with_source(sized, plan, few).withColumn("key", 1 - F.pow(unit, 1 / F.col("weight"))).withColumn("bin", F.floor(F.col("key") * BINS).cast("int"))
     bins = keyed.groupBy("source", "bin").agg(F.sum("tokens").alias("held"))
     bins = bins.withColumn("before", F.sum("held").over(W.partitionBy("source").orderBy("bin")) - F.col("held"))
     placed = keyed.join(bins, ["source", "bin"])

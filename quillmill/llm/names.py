@@ -308,6 +308,8 @@ KEY = ["k1", "k2"]
 STRONG, NEAR, OWNER, SEEKER = 0, 1, 2, 3
 #: What share of the identities that own a form an entry's link must rest on.
 MIN_RARITY = 1.0
+#: At most so many split forms (two numbers and two flags each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_FORMS = 100_000
 FORMS = "nid long, project_id string, form string, role int, lead string, mark string, middle string"
 
 
@@ -346,11 +348,12 @@ def _keyed(forms: DataFrame) -> DataFrame:
     """Forms as 128 bits of hash, so that what is shuffled is short; where owners bear different marks or middle initials these are part of the form."""
     key = lambda n: F.xxhash64(F.lit(n), "project_id", "form").alias(f"k{n}")
     keyed = cut_lineage(forms.select(key(1), key(2), "nid", "role", "lead", F.nullif("mark", F.lit("")).alias("mark"), F.nullif("middle", F.lit("")).alias("middle")))
-    apart = (
+    apart = cut_lineage(
         keyed.where((F.col("role") <= NEAR) & (F.col("mark").isNotNull() | F.col("middle").isNotNull())).groupBy(*KEY)
         .agg((F.min("mark") != F.max("mark")).alias("by_mark"), (F.min("middle") != F.max("middle")).alias("by_middle")).where("by_mark OR by_middle")
     )
     split = F.when(F.col("role") <= NEAR, F.struct(F.when(F.col("by_mark"), F.coalesce("mark", F.lit(""))).alias("a"), F.when(F.col("by_middle"), F.coalesce("middle", F.lit(""))).alias("b")))
+    apart = F.broadcast(apart) if apart.count() <= BROADCAST_FORMS else apart
     return keyed.join(apart, KEY, "left").select(
         *[F.when((F.col("role") <= NEAR) & (F.col("by_mark") | F.col("by_middle")), F.xxhash64(k, split)).otherwise(F.col(k)).alias(k) for k in KEY], "nid", "role", "lead", "mark")
 

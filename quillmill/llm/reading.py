@@ -1,8 +1,7 @@
 """Problem 9: how demanding each document is to read, on the scale of its readers (1 to 5).
 
 Method: smoothed unigram language models per level. The models are fitted on labelled documents - at most
-SAMPLE_DOCS of them, chosen by hash, and their MODEL_WORDS commonest words, a bounded sample of labelled
-rows - separately for each language, so that the mix of languages at a level says nothing about a text of one
+SAMPLE_DOCS of them, chosen by hash, a bounded sample of labelled rows, with all words of it - separately for each language, so that the mix of languages at a level says nothing about a text of one
 language. A document gets the level whose model gives its words the highest posterior likelihood.
 
 Words that a single labelled document holds (names, above all) count as one unknown word. Marks that
@@ -28,7 +27,6 @@ from pyspark.sql import DataFrame, functions as F
 from quillmill.llm import textnorm
 
 SAMPLE_DOCS = 20_000
-MODEL_WORDS = 60_000
 LEVELS = 5
 SMOOTHING = 0.5
 
@@ -139,8 +137,8 @@ def fit(documents: DataFrame, reading_label: DataFrame) -> Model:
 
     counted = texts.mapInPandas(count, "lang string, level int, word string, n double, docs long")
     by = counted.groupBy("lang", "word", "level").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    words = by.groupBy("lang", "word").agg(F.collect_list(F.struct("level", "n")).alias("by"), F.sum("n").alias("all"), F.max("docs").alias("docs"))
-    top = words.where("word = '' OR docs > 1").orderBy(F.desc(F.col("word") == ""), F.desc("all"), "lang", "word").limit(MODEL_WORDS).collect()
+    words = by.groupBy("lang", "word").agg(F.collect_list(F.struct("level", "n")).alias("by"), F.max("docs").alias("docs"))
+    top = words.where("word = '' OR docs > 1").collect()  # no more words than the sample holds
     votes = {x["level"]: x["n"] for r in top if r["word"] == "" for x in r["by"]}
     return Model.fit(((r["lang"], x["level"], r["word"], x["n"]) for r in top if r["word"] for x in r["by"]), votes)
 

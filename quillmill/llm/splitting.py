@@ -2,14 +2,14 @@
 
 Method: balanced targets. The least number of pieces that can work is computed, equal-length targets are
 placed, and each target is snapped to the strongest boundary near it (paragraph, sentence, clause, space,
-else any place outside an inline mark); where a piece would exceed the limit, one more piece is tried.
+else any place outside an inline mark); where a piece would exceed the limit, more pieces are tried, in steps
+that double until a number works, and the least number that works is then found by bisection.
 
 A piece runs from its start to its cut; the next one starts up to `overlap` characters before that cut, at
 the first word start (or, in text without spaces, any place outside a mark) of that stretch.
 
 Defined results: texts within the limit, null and empty texts give no piece; a limit that is null or below 1
-splits nothing; a negative or null overlap counts as 0, one not smaller than half of the limit is lowered to
-that; a mark longer than the limit is the one thing cut inside; repeated ids count once.
+splits nothing; a negative or null overlap counts as 0, one not smaller than the limit is one less than it; a mark longer than the limit is the one thing cut inside; repeated ids count once.
 """
 
 from __future__ import annotations
@@ -69,45 +69,67 @@ def split(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int]]:
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    overlap = max(0, min(overlap, (limit - 1) // 2))
+    overlap = max(0, min(overlap, limit - 1))
     marks = [(m.start(), m.end()) for m in textnorm.MARK.finditer(text)]
     starts = [a for a, _ in marks]
     kinds = _boundaries(text)
+    lay = lambda count: _layout(text, limit, overlap, count, marks, starts, kinds)
     count = max(2, -(-(n - overlap) // (limit - overlap)))
-    while True:
-        pieces, start, cut_before, ok = [], 0, 0, True
-        for k in range(1, count):
-            left = count - k + 1
-            mean = (n - cut_before) / left
-            target = cut_before + mean
-            # a cut must keep this piece within the limit and leave no more than the rest can hold
-            high = start + limit
-            at = bisect_left(starts, cut_before)
-            if at < len(starts) and starts[at] == cut_before and marks[at][1] > high:
-                start, high = cut_before, cut_before + limit  # the overlap would leave no room for the next mark
-            low = max(cut_before + 1, n - (left - 1) * (limit - overlap))
-            low = min(low, high)
-            cut = None
-            for reach, places in zip(_RANGE, kinds):
-                a, b = max(low, int(target - reach * mean)), min(high, int(target + reach * mean))
-                i, j = bisect_left(places, a), bisect_right(places, b)
-                if i < j:
-                    near = bisect_left(places, target, i, j)
-                    cut = min((places[x] for x in (near - 1, near) if i <= x < j), key=lambda p: (abs(p - target), p))
-                    break
-            if cut is None:
-                cut = _outside(int(min(high, max(low, target))), marks, starts, cut_before, high)
-            pieces.append((start, cut))
-            cut_before = cut
-            start = _restart(text, pieces[-1][0], cut, overlap, kinds, marks, starts)
-            if cut >= n:
+    pieces, failed, step = lay(count), count, 1
+    while pieces is None and failed + step < n:
+        count = failed + step
+        pieces = lay(count)
+        if pieces is None:
+            failed, step = count, 2 * step
+    if pieces is None:
+        return _plain_cuts(n, limit, marks, starts)
+    while count - failed > 1:
+        mid = (failed + count) // 2
+        tried = lay(mid)
+        if tried is None:
+            failed = mid
+        else:
+            count, pieces = mid, tried
+    return pieces
+
+
+def _layout(text: str, limit: int, overlap: int, count: int, marks: list, starts: list, kinds: list) -> list[tuple[int, int]] | None:
+    """`count` pieces of about equal length, or None where one of them exceeds the limit."""
+    n = len(text)
+    pieces, start, cut_before = [], 0, 0
+    for k in range(1, count):
+        left = count - k + 1
+        mean = (n - cut_before) / left
+        target = cut_before + mean
+        # a cut must keep this piece within the limit and leave no more than the rest can hold
+        high = start + limit
+        at = bisect_left(starts, cut_before)
+        if at < len(starts) and starts[at] == cut_before and marks[at][1] > high:
+            start, high = cut_before, cut_before + limit  # the overlap would leave no room for the next mark
+        low = max(cut_before + 1, n - (left - 1) * (limit - overlap))
+        low = min(low, high)
+        cut = None
+        for reach, places in zip(_RANGE, kinds):
+            a, b = max(low, int(target - reach * mean)), min(high, int(target + reach * mean))
+            i, j = bisect_left(places, a), bisect_right(places, b)
+            if i < j:
+                near = bisect_left(places, target, i, j)
+                cut = min((places[x] for x in (near - 1, near) if i <= x < j), key=lambda p: (abs(p - target), p))
                 break
-        if cut_before < n:
-            pieces.append((start, n))
-        ok = all(b - a <= limit for a, b in pieces)
-        if ok or count >= n:
-            return pieces if ok else _plain_cuts(n, limit, marks, starts)
-        count += 1
+        if cut is None:
+            cut = _outside(int(min(high, max(low, target))), marks, starts, cut_before, high)
+        if cut - start > limit:
+            return None
+        pieces.append((start, cut))
+        cut_before = cut
+        start = _restart(text, pieces[-1][0], cut, overlap, kinds, marks, starts)
+        if cut >= n:
+            break
+    if cut_before < n:
+        if n - start > limit:
+            return None
+        pieces.append((start, n))
+    return pieces
 
 
 def _restart(text: str, start: int, cut: int, overlap: int, kinds: list[list[int]], marks: list, starts: list) -> int:

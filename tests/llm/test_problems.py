@@ -313,6 +313,19 @@ def test_p4_pieces_hold(parts, limit, overlap):
     assert not inside & ({a for a, _ in cuts} | {b for _, b in cuts})
 
 
+def test_p4_wide_overlaps_and_marks_beyond_the_limit():
+    import time
+
+    text = "one two three four five. " * 40
+    cuts = splitting.split(text, 50, 40)
+    shared = [b - c for (_, b), (c, _) in zip(cuts, cuts[1:])]
+    assert all(b - a <= 50 for a, b in cuts) and max(shared) <= 40 and sorted(shared)[len(shared) // 2] >= 34
+    assert all(b - a <= 10 for a, b in splitting.split("abcdefghij" * 5, 10, 99))
+    t0 = time.perf_counter()
+    cuts = splitting.split("[[T123456789]]" * 3000, 10, 3)
+    assert cuts[-1][1] == 42000 and all(b - a <= 10 for a, b in cuts) and time.perf_counter() - t0 < 5
+
+
 def test_p4_edges(spark):
     s = spark.createDataFrame([seg("a", "x" * 50), seg("b", "one two. " * 30), seg("b", "one two. " * 30), seg("c", None), seg("d", ""), seg("e", "y" * 51, project="none"), seg("f", "[[T0]]" + "z" * 60), (None, *seg("g", "w" * 99)[1:])], SEGMENT)
     policy = spark.createDataFrame([("p", 50, None, "clash"), ("q", None, 3, "clash")], "project_id string, max_chars int, overlap_chars int, text string")
@@ -450,6 +463,25 @@ def test_p8_shares_and_repeats(spark):
     assert mixing.mix(d.limit(0), targets).count() == 0 and mixing.mix(d, targets.limit(0)).count() == 0
 
 
+def test_p8_salted_joins_mix_alike(spark):
+    rng = random.Random(4)
+    docs = [(k, f"s{k % 3}", " ".join(rng.choices(["cat", "dog", "house", "tree", "road"], k=rng.randint(3, 40))), "c", "c") for k in range(300)]
+    targets = spark.createDataFrame([("s0", 0.5, 2, "c"), ("s1", 0.3, 2, "c"), ("s2", 0.2, 1, "c")], TARGET)
+    d = spark.createDataFrame(docs, DOC)
+    few, old, mixing.BROADCAST_SOURCES = sorted(map(tuple, mixing.mix(d, targets).collect())), mixing.BROADCAST_SOURCES, 1
+    try:
+        assert sorted(map(tuple, mixing.mix(d, targets).collect())) == few and few
+    finally:
+        mixing.BROADCAST_SOURCES = old
+
+
+def test_p8_quality_weights(spark):
+    texts = {"prose": "The road left the garden and the boat took a letter to the old harbour.", "repeated": "buy now " * 60, "markup": "<div><p>{[|]}</p></div>" * 5, "run": "x" * 400, "ja": "彼は本を読んだ。そして港へ行った。", "none": None, "empty": ""}
+    d = spark.createDataFrame([(k, v) for k, v in texts.items()], "k string, text string")
+    w = {r["k"]: r["w"] for r in d.select("k", mixing.quality_weight().alias("w")).collect()}
+    assert w["prose"] > 0.9 and w["ja"] > 0.8 and w["repeated"] < 0.2 and w["run"] <= 0.06 and w["markup"] < w["prose"] / 2 and w["none"] == w["empty"] == 0.05
+
+
 # ---------------------------------------------------------------- 9
 
 
