@@ -1,8 +1,10 @@
 """Near-duplicate glossary entries (E01-E07): canonical buckets, fuzzy edges, components, merge.
 
-The fuzzy join is exact and needs no block of a shared prefix: a key of length m is cut into three parts,
-and a key within two edits of it holds one of them nearly at its place. Keys meet by equi-join on
-(project, length, part, text of the part); the edit distance is then tested in the JVM.
+The fuzzy join is exact. Keys within two edits must share their first letters (all letters of a shorter key), so these
+are part of the join key. A key of length m is cut behind them into three parts, and a key within two edits of it
+holds one of the parts nearly at its place: keys meet by equi-join on (project, first letters, length, part, text of
+the part), and the edit distance is then tested in the JVM. Keys of a few letters have no three parts that say
+anything; they meet by what is left of them with up to two letters left out.
 """
 
 from __future__ import annotations
@@ -37,26 +39,48 @@ def parts(length: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Behind the first letters, keys of at least so many letters are cut into parts; shorter ones are met by letters left out.
+WHOLE_PARTS = 6
+
+
+def left_out(text: str, most: int = DISTANCE) -> set[str]:
+    """The text with up to `most` letters left out: two texts within `most` edits share one of these."""
+    out, last = {text}, {text}
+    for _ in range(most):
+        last = {t[:k] + t[k + 1 :] for t in last for k in range(len(t))}
+        out |= last
+    return out
+
+
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = set()
+        rows: list[tuple] = []
         for scope, key in zip(pdf["scope"], pdf["key"]):
-            n = len(key)
-            for i, (a, size) in enumerate(parts(n)):
-                rows.add((scope, key, n, i, key[a : a + size], True))
-            for m in range(max(0, n - DISTANCE), n + 1):
-                for i, (a, size) in enumerate(parts(m)):
-                    for p in range(max(0, a - DISTANCE), min(n - size, a + DISTANCE) + 1):
-                        rows.add((scope, key, m, i, key[p : p + size], False))
-        yield pd.DataFrame(sorted(rows), columns=["scope", "key", "len", "part", "piece", "stored"])
+            head, tail = key[:PREFIX], key[PREFIX:]
+            n = len(tail)
+            # a key of one or two letters opens the other, which has up to two more
+            if len(key) < PREFIX:
+                rows.append((scope, key, key, 0, -1, "", False, True))
+            rows += [(scope, key, key[:k], 0, -1, "", True, False) for k in range(max(1, len(key) - DISTANCE), min(PREFIX, len(key)))]
+            if len(key) < PREFIX:
+                continue
+            # the letters are alike up to here, so the edits lie in the tails
+            if n < WHOLE_PARTS + DISTANCE:
+                rows += [(scope, key, head, 0, -2, t, True, True) for t in left_out(tail)]
+            if n >= WHOLE_PARTS:
+                rows += [(scope, key, head, n, i, tail[a : a + size], True, False) for i, (a, size) in enumerate(parts(n))]
+                asked = {(m, i, tail[p : p + size]) for m in range(max(WHOLE_PARTS, n - DISTANCE), n + 1) for i, (a, size) in enumerate(parts(m)) for p in range(max(0, a - DISTANCE), min(n - size, a + DISTANCE) + 1)}
+                rows += [(scope, key, head, m, i, piece, False, True) for m, i, piece in asked]
+        yield pd.DataFrame(rows, columns=["scope", "key", "head", "len", "part", "piece", "stored", "asks"])
 
 
 def fuzzy_edges(keys: DataFrame) -> DataFrame:
     """keys(scope, key) distinct -> (scope, a, b): keys of one scope within two edits that share their first letters."""
-    sig = cut_lineage(keys.mapInPandas(_signatures, "scope string, key string, len int, part int, piece string, stored boolean"))
-    left = sig.where("stored").select("scope", "len", "part", "piece", F.col("key").alias("a"))
-    right = sig.where("NOT stored").select("scope", "len", "part", "piece", F.col("key").alias("b"))
-    met = left.join(right, ["scope", "len", "part", "piece"]).where("a <> b").select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sig = cut_lineage(keys.mapInPandas(_signatures, "scope string, key string, head string, len int, part int, piece string, stored boolean, asks boolean"))
+    on = ["scope", "head", "len", "part", "piece"]
+    left = sig.where("stored").select(*on, F.col("key").alias("a"))
+    right = sig.where("asks").select(*on, F.col("key").alias("b"))
+    met = left.join(right, on).where("a <> b").select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     shared = F.least(F.lit(PREFIX), F.length("a"), F.length("b"))
     return met.where((F.substring(F.col("a"), F.lit(1), shared) == F.substring(F.col("b"), F.lit(1), shared)) & (F.levenshtein("a", "b", DISTANCE) >= 0))
 

@@ -102,35 +102,52 @@ def z11(t: Tables) -> DataFrame:
     return matching.affected(t.segment, changed(t))
 
 
-_ASCII = "regexp_full_match({}, '[\\x20-\\x7e]+')"
 _NOUN = f" (?:{'|'.join(terms.TRAILING_NOUNS)})$"
+_BLANK = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+
+
+def _compatible_sql(c: str) -> str:
+    """NFKC for what the tables hold: wide forms, blanks, ligatures, small numerals and three single letters, then composition."""
+    u = "unicode(x)"
+    one = f"""CASE WHEN {u} BETWEEN 65281 AND 65374 THEN chr({u} - 65248) WHEN {u} IN (160, 8239, 8287, 12288) OR {u} BETWEEN 8192 AND 8202 THEN ' '
+        WHEN {u} BETWEEN 64256 AND 64262 THEN ['ff', 'fi', 'fl', 'ffi', 'ffl', 'st', 'st'][{u} - 64255]
+        WHEN {u} BETWEEN 8560 AND 8575 THEN ['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x', 'xi', 'xii', 'l', 'c', 'd', 'm'][{u} - 8559]
+        WHEN {u} = 1010 THEN 'ς' WHEN {u} = 8490 THEN 'K' WHEN {u} = 8209 THEN '‐' ELSE x END"""
+    return f"nfc_normalize(array_to_string(list_transform(string_split({c}, ''), lambda x: {one}), ''))"
 
 
 def _canon_sql(c: str) -> str:
     marks = r"[.,;:!?·\-…—–]+$"
-    out = f"regexp_replace(trim(regexp_replace(lower(trim({c})), '{marks}', '')), '\\s+', ' ', 'g')"
+    trim = lambda x: f"regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+    out = trim(f"regexp_replace(lower({trim(_compatible_sql(c))}), '{marks}', '')")
+    out = f"regexp_replace({out}, '{_BLANK}+', ' ', 'g')"
     for _ in range(4):
-        out = f"trim(regexp_replace({out}, '{_NOUN}', ''))"
-        out = f"trim(regexp_replace({out}, '\\s*\\([^()]*\\)\\s*$|\\s*\\([^()]*$', ''))"
-    return f"trim(regexp_replace({out}, '{marks}', ''))"
+        out = trim(f"regexp_replace({out}, '{_NOUN}', '')")
+        out = trim(f"regexp_replace({out}, '\\s*\\([^()]*\\)\\s*$|\\s*\\([^()]*$', '')")
+    return trim(f"regexp_replace({out}, '{marks}', '')")
+
+
+def _edits_sql(a: str, b: str) -> str:
+    """Edits between characters: both texts are spelled in the ASCII signs of their own alphabet first, as DuckDB counts bytes."""
+    alphabet = f"list_distinct(string_split({a} || {b}, ''))"
+    coded = lambda c: f"array_to_string(list_transform(string_split({c}, ''), lambda x: chr(33 + list_position({alphabet}, x)::INT)), '')"
+    return f"levenshtein({coded(a)}, {coded(b)})"
 
 
 _KEYED = f"""
-    , plain AS (SELECT id, project_id, status, type, source_term, coalesce(nullif(source_term, ''), target_term) AS t FROM gloss),
-    k0 AS MATERIALIZED (SELECT *, {_canon_sql('t')} AS key FROM plain WHERE {_ASCII.format('t')}), keyed AS (SELECT * FROM k0 WHERE key <> '')
+    , k0 AS MATERIALIZED (SELECT id, project_id, status, type, source_term, {_canon_sql("coalesce(nullif(source_term, ''), target_term)")} AS key FROM gloss), keyed AS (SELECT * FROM k0 WHERE key <> '')
 """
 
 
-# The SQL answers for entries whose key side is plain ASCII, as DuckDB counts edits in bytes; the queries take all.
 @query("e01_g05_g07_canonical_keys", sql("gloss", _KEYED + " SELECT id, key FROM keyed"))
 def e01(t: Tables) -> DataFrame:
     return resolution.canonical_keys(t.glossary).select("id", "key")
 
 
-_EDGES = _KEYED + """
+_EDGES = _KEYED + f"""
     , d AS (SELECT DISTINCT project_id, key FROM keyed),
     e AS (SELECT x.project_id AS scope, x.key AS a, y.key AS b FROM d x JOIN d y ON x.project_id = y.project_id AND x.key < y.key AND abs(length(x.key) - length(y.key)) <= 2
-          WHERE left(x.key, least(3, length(x.key), length(y.key))) = left(y.key, least(3, length(x.key), length(y.key))) AND levenshtein(x.key, y.key) <= 2)
+          WHERE left(x.key, least(3, length(x.key), length(y.key))) = left(y.key, least(3, length(x.key), length(y.key))) AND {_edits_sql('x.key', 'y.key')} <= 2)
 """
 
 
