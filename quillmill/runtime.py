@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's shared one, or a temporary one where none is named (tests)."""
+    """Folder for checkpoints: the cluster's shared one, or on one machine (tests) a temporary one where none is named."""
     sc = spark.sparkContext
     held = sc.getCheckpointDir()
     if held:
         return held
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmill-"))
     return sc.getCheckpointDir()
 
