@@ -55,17 +55,6 @@ def parse(responses: DataFrame) -> DataFrame:
     return responses.select("project_id", "cache_key", f["target"].alias("target"), f["notes"].alias("notes"), fault.alias("fault"))
 
 
-def translate(segments: DataFrame, ledger: DataFrame, model_name: str, model: Model, glossary_hash: Column) -> DataFrame:
-    """(id, project_id, cache_key, target, cached, fault) of every pending segment with text."""
-    work = worklist(segments, model_name, glossary_hash)
-    held = ledger.select("project_id", "cache_key", F.col("target").alias("held")).dropDuplicates(["project_id", "cache_key"])
-    fresh = parse(call(misses(work, ledger), model)).select("project_id", "cache_key", "target", "fault")
-    return (
-        work.select("id", "project_id", "cache_key").join(held, ["project_id", "cache_key"], "left").join(fresh, ["project_id", "cache_key"], "left")
-        .select("id", "project_id", "cache_key", F.coalesce("held", "target").alias("target"), F.col("held").isNotNull().alias("cached"), F.when(F.col("held").isNull(), F.col("fault")).alias("fault"))
-    )
-
-
 def glossary_hash(entries: DataFrame) -> DataFrame:
     """One hash per project over its terms in order; ids and times do not count."""
     row = F.struct(F.coalesce("source_term", F.lit("")).alias("s"), F.col("target_term").alias("t"), F.col("type").alias("y"), F.col("status").alias("u"), F.coalesce("gender", F.lit("")).alias("g"), "source_known")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillmill.functions import terms
-from quillmill.operators.reads import first_per
 
 
 def event(df: DataFrame, project: Column, ts: Column | int, kind: Column | str, payload: Column) -> DataFrame:
@@ -40,27 +38,6 @@ def replace_by(held: DataFrame, fresh: DataFrame, keys: list[str], distinct: lis
     return held.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh.dropDuplicates(distinct))
 
 
-def upsert_proposals(entries: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Z06 over a set: (project_id, source_term, action, entry_id, new_type, new_target).
-
-    Each proposal meets the first entry of its project with the same source term, else with the same canonical
-    key, else makes one entry per canonical key. A generic type is raised and a target that mirrors its source
-    is filled in, both only while the entry is proposed.
-    """
-    known = entries.where("source_term IS NOT NULL").withColumn("key", terms.canonical_form(F.col("source_term")))
-    known = known.select("project_id", "source_term", "key", "created_at", "id", "type", "status", "target_term")
-    exact = first_per(known, ["project_id", "source_term"], F.col("created_at"), F.col("id")).select("project_id", "source_term", F.struct("id", "type", "status", "target_term", F.col("source_term").alias("src")).alias("x"))
-    alike = first_per(known.where("key <> ''"), ["project_id", "key"], F.col("created_at"), F.col("id")).select("project_id", "key", F.struct("id", "type", "status", "target_term", F.col("source_term").alias("src")).alias("y"))
-    p = proposals.select("project_id", "source_term", F.coalesce("type", F.lit("term")).alias("p_type"), F.col("target_term").alias("p_target")).withColumn("key", terms.canonical_form(F.col("source_term")))
-    best = p.groupBy("project_id", "key").agg(F.min(F.struct(F.when(F.col("p_type") == "term", 1).otherwise(0), "source_term", "p_type", "p_target")).alias("m")).select("project_id", "key", "m.source_term", "m.p_type", "m.p_target")
-    j = best.join(exact, ["project_id", "source_term"], "left").join(alike, ["project_id", "key"], "left").withColumn("e", F.coalesce("x", "y"))
-    soft = F.col("e.status") == "proposed"
-    up_type = F.when(soft & (F.col("e.type") == "term") & (F.col("p_type") != "term"), F.col("p_type"))
-    up_target = F.when(soft & (F.col("e.target_term") == F.col("e.src")) & F.col("p_target").isNotNull() & (F.col("p_target") != F.col("source_term")), F.col("p_target"))
-    action = F.when(F.col("e").isNull(), "create").when(F.col("x").isNotNull(), "match").otherwise("alias")
-    return j.select("project_id", "source_term", action.alias("action"), F.col("e.id").alias("entry_id"), up_type.alias("new_type"), up_target.alias("new_target"))
-
-
 def import_entries(held: DataFrame, incoming: DataFrame, overwrite: bool) -> DataFrame:
     """Each incoming entry as created, updated or skipped by (project, source term, type); null sources always create."""
     keys = held.where("source_term IS NOT NULL").select("project_id", "source_term", "type").distinct().withColumn("_held", F.lit(True))

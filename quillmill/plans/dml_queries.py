@@ -44,12 +44,6 @@ def z04(t: Tables) -> DataFrame:
     return dml.replace_by(t.alias, fresh, ["entry_id", "side"], ["entry_id", "side", "text"])
 
 
-@query("z06_upsert_proposals")
-def z06(t: Tables) -> DataFrame:
-    g = t.glossary
-    return dml.upsert_proposals(g.where("status <> 'proposed'"), g.where("status = 'proposed' AND source_term IS NOT NULL").select("project_id", "source_term", "type", "target_term"))
-
-
 @query("z07_target_only", sql("gloss", """
     SELECT p.id, p.project_id, p.target_term, p.type FROM gloss p WHERE p.source_term IS NULL AND NOT EXISTS (SELECT 1 FROM gloss g WHERE g.source_term IS NOT NULL AND g.project_id = p.project_id AND g.target_term = p.target_term AND g.type = p.type)"""))
 def z07(t: Tables) -> DataFrame:

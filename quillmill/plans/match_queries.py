@@ -157,24 +157,18 @@ def e02(t: Tables) -> DataFrame:
     return resolution.fuzzy_edges(keys)
 
 
-@query("e03_e04_o08_near_duplicates", sql("gloss", _EDGES + """
+_GROUPS = """
     , bidi AS (SELECT scope, a, b FROM e UNION SELECT scope, b, a FROM e),
     reach AS (SELECT project_id AS scope, key AS a, key AS b FROM d UNION SELECT r.scope, r.a, x.b FROM reach r JOIN bidi x ON x.scope = r.scope AND x.a = r.b),
     root AS (SELECT scope, a AS key, min(b) AS root FROM reach GROUP BY 1, 2),
-    l AS (SELECT k.*, r.root, count(*) OVER (PARTITION BY k.project_id, r.root) AS n FROM keyed k JOIN root r ON r.scope = k.project_id AND r.key = k.key)
-    SELECT project_id, root, id, first_value(id) OVER (PARTITION BY project_id, root ORDER BY CASE status WHEN 'locked' THEN 0 WHEN 'confirmed' THEN 1 WHEN 'proposed' THEN 2 ELSE 99 END, type = 'term', id) AS winner FROM l WHERE n > 1"""))
-def e03(t: Tables) -> DataFrame:
-    return resolution.near_duplicates(t.glossary)
-
-
-@query("e06_merge_aliases")
-def e06(t: Tables) -> DataFrame:
-    return resolution.merge(t.glossary, t.alias, resolution.near_duplicates(t.glossary))[1]
+    l AS (SELECT k.*, r.root, count(*) OVER (PARTITION BY k.project_id, r.root) AS n FROM keyed k JOIN root r ON r.scope = k.project_id AND r.key = k.key),
+    grp AS (SELECT project_id, root, id, first_value(id) OVER (PARTITION BY project_id, root ORDER BY CASE status WHEN 'locked' THEN 0 WHEN 'confirmed' THEN 1 WHEN 'proposed' THEN 2 ELSE 99 END, type = 'term', id) AS winner FROM l WHERE n > 1)
+"""
 
 
-@query("e06_merged_entries")
-def e06b(t: Tables) -> DataFrame:
-    return resolution.merge(t.glossary, t.alias, resolution.near_duplicates(t.glossary))[0].select("id", "project_id", "source_term", "target_term")
+@query("e03_e04_o08_near_duplicates", sql("gloss", _EDGES + _GROUPS + " SELECT * FROM grp"))
+def e03(t: Tables) -> DataFrame:
+    return resolution.near_duplicates(t.glossary)
 
 
 @query("e07_canonical_lookup", sql("gloss", _KEYED + """

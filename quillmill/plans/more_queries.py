@@ -21,17 +21,6 @@ def f16(t: Tables) -> DataFrame:
     return c.join(links, c.id == links.call_id, "left").select("id", "project_id", "purpose", "created_at", F.coalesce("entries", F.array().cast("array<string>")).alias("entries"))
 
 
-@query("f18_z17_attached_books", """
-    SELECT a.id AS project_id, b.id AS attached_id, CAST(row_number() OVER (PARTITION BY a.id ORDER BY b.created_at, b.id) - 1 AS INTEGER) AS priority
-    FROM project a JOIN project b ON a.source_lang = b.source_lang AND a.target_lang = b.target_lang AND a.id <> b.id""")
-def f18(t: Tables) -> DataFrame:
-    """Books of one pair of languages lend each other their glossaries, the older first."""
-    a = t.project.select(F.col("id").alias("project_id"), "source_lang", "target_lang")
-    b = t.project.select(F.col("id").alias("attached_id"), "source_lang", "target_lang", "created_at")
-    j = a.join(b, ["source_lang", "target_lang"]).where("project_id <> attached_id")
-    return j.select("project_id", "attached_id", (F.row_number().over(W.partitionBy("project_id").orderBy("created_at", "attached_id")) - 1).alias("priority"))
-
-
 @query("f22_a15_inbox_counts", sql("seg gloss event", """
     SELECT kind, count(*) AS items FROM (SELECT 'flagged' AS kind FROM seg WHERE status = 'flagged' UNION ALL SELECT 'proposed' FROM gloss WHERE status = 'proposed' UNION ALL SELECT 'alert' FROM event WHERE kind IN ('error', 'purchase')) GROUP BY 1"""))
 def f22(t: Tables) -> DataFrame:

@@ -37,5 +37,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from quillmill.plans import (  # noqa: F401
-        aggregate_queries, dml_queries, extra_queries, match_queries, more_queries, ordered_queries, pipeline_queries, read_queries, scalar_queries, source_queries, stream_queries,
+        aggregate_queries, dml_queries, extra_queries, match_queries, more_queries, ordered_queries, pipeline_queries, read_queries, scalar_queries, source_queries, stream_queries, write_queries,
     )

