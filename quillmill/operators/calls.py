@@ -91,7 +91,7 @@ def schedule(items: DataFrame, key: str, order: list[str], cost: Column, cap: Co
 
     An item goes out while the total before it is not strictly above the cap.
     """
-    from pyspark.sql import Window as W
+    from quillmill.operators.ordered import running, sliced
 
-    before = F.sum(cost).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    return items.withColumn("spent", F.coalesce(before, F.lit(0).cast("decimal(28,6)"))).withColumn("submitted", F.col("spent") <= cap)
+    summed = running(sliced(items, [key], order), [key], order, {"spent": ("sum", cost)}, inclusive=False).drop("_slice")
+    return summed.withColumn("spent", F.coalesce("spent", F.lit(0).cast("decimal(28,6)"))).withColumn("submitted", F.col("spent") <= cap)

@@ -53,11 +53,13 @@ def normalise(entries: DataFrame) -> DataFrame:
 
 def export_entries(entries: DataFrame) -> DataFrame:
     """One JSON object per entry, keys in fixed order, with its place in the stable order of its project."""
-    from pyspark.sql import Window as W
+    from quillmill.operators.ordered import running, sliced
 
     keys = ["source_term", "target_term", "type", "status", "gender", "notes", "source_known"]
-    order = W.partitionBy("project_id").orderBy(F.col("source_term").asc_nulls_first(), "id")
-    return entries.select("project_id", "id", F.row_number().over(order).alias("position"), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("entry"))
+    rows = entries.select("project_id", "source_term", "id", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("entry"))
+    order = ["source_term", "id"]
+    placed = running(sliced(rows, ["project_id"], order), ["project_id"], order, {"position": ("sum", F.lit(1))})
+    return placed.select("project_id", "id", F.col("position").cast("int").alias("position"), "entry")
 
 
 def write(entries: DataFrame, path: str) -> None:

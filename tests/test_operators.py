@@ -112,6 +112,42 @@ def test_chunks_runs_breaker_and_sample(spark):
     assert [(r["k"], r["total"]) for r in cut.collect()] == [(2, 11)]
 
 
+def test_ordered_folds_across_slices_equal_plain_loops(spark):
+    """Keys that span many slices: chunks, totals, numbers, runs and breakers against loops over the rows in order."""
+    rng = random.Random(21)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.randint(0, 300), f"i{k:04d}", rng.choice([0, 1, 3, 9, 40, 120]), rng.choice("xxy") if rng.random() < 0.9 else None) for k in range(1500)]
+    df = spark.createDataFrame(rows, "g string, k int, id string, n int, v string").repartition(7)
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        by.setdefault(r[0], []).append(r)
+    for cap, joiner in ((100, 0), (130, 2), (5, 1)):
+        want = {}
+        for rs in by.values():
+            total = chunk = 0
+            for r in rs:
+                if total and total + joiner + r[3] > cap:
+                    chunk, total = chunk + 1, r[3]
+                else:
+                    total += r[3] + (joiner if total else 0)
+                want[r[2]] = chunk
+        assert {r["id"]: r["chunk"] for r in ordered.greedy_chunks(df, "g", ["k", "id"], F.col("n"), cap, joiner).collect()} == want
+    cut = ordered.sliced(df, ["g"], ["k", "id"])
+    assert cut.select("_slice").distinct().count() == 8
+    got = {r["id"]: (r["s"], r["m"], r["p"]) for r in ordered.running(cut, ["g"], ["k", "id"], {"s": ("sum", F.col("n")), "m": ("max", F.col("n")), "p": ("last", F.col("v"))}, inclusive=False).collect()}
+    assert got == {r[2]: (sum(x[3] for x in rs[:i]) if i else None, max((x[3] for x in rs[:i]), default=None), rs[i - 1][4] if i else None) for rs in by.values() for i, r in enumerate(rs)}
+    runs = {(r["g"], r["run"], r["v"], r["rows"]) for r in ordered.run_lengths(df, ["g"], ["k", "id"], "v").collect()}
+    assert runs == {(g, i + 1, v, len(list(x))) for g, rs in by.items() for i, (v, x) in enumerate(itertools.groupby(rs, key=lambda r: r[4]))}
+    trip = {r["g"]: r["tripped_at"] for r in ordered.breaker(df.where("g IS NOT NULL"), "g", "id", F.col("n") >= 9, 4).collect()}
+    want = {}
+    for g in by:
+        streak = 0
+        for r in sorted(by[g], key=lambda r: r[2]):
+            streak = streak + 1 if r[3] >= 9 else 0
+            if streak >= 4 and g is not None:
+                want.setdefault(g, r[2])
+    assert trip == want
+
+
 def test_updates_and_imports(spark):
     e = spark.createDataFrame([("a", "p", "character", "X", "x", "proposed", None, 1, 1), ("b", "p", "term", "Y", "Y", "proposed", None, 1, 1)], "id string, project_id string, type string, source_term string, target_term string, status string, notes string, created_at long, updated_at long")
     ch = spark.createDataFrame([("a", None, None, None), ("b", "why", "locked", None)], "id string, target_term string, status string, notes string")
