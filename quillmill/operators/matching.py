@@ -75,6 +75,15 @@ def mention_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("entry_id").agg(F.count("*").alias("mentions"), F.countDistinct("segment_id").alias("segments"))
 
 
+def with_first_seen(found: DataFrame, entries: DataFrame) -> DataFrame:
+    """(segment_id, entry_id, term, span_start, span_end, origin): distinct mentions, and for proposals without one in their first segment a row without a span."""
+    kinds = entries.select(F.col("id").alias("entry_id"), F.when(F.col("status") == "proposed", "new").otherwise("own").alias("origin"))
+    own = found.join(kinds, "entry_id").select("segment_id", "entry_id", "term", "span_start", "span_end", "origin").distinct()
+    first = entries.where("status = 'proposed' AND first_seen_segment_id IS NOT NULL").select(F.col("first_seen_segment_id").alias("segment_id"), F.col("id").alias("entry_id"), F.col("source_term").alias("term"))
+    bare = first.join(found.select("segment_id", "entry_id").distinct(), ["segment_id", "entry_id"], "left_anti")
+    return own.unionByName(bare.select("segment_id", "entry_id", "term", F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end"), F.lit("new").alias("origin")))
+
+
 def missing_targets(segments: DataFrame, entries: DataFrame, aliases: DataFrame) -> DataFrame:
     """Entries found in a source whose target form is missing: an error where locked with a known source, else a warning."""
     bound = entries.where("status <> 'proposed'")

@@ -92,6 +92,20 @@ def log_filter(events: DataFrame, now: int, window: str | None = None, needle: s
     return out
 
 
+# Log levels, the lowest first.
+LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
+
+
+def log_records(records: DataFrame, min_level: str | None = None, prefix: str | None = None, needle: str | None = None) -> DataFrame:
+    """records(level, logger, message) of at least a level, of loggers that open with a prefix, whose message holds the needle in any case."""
+    out = records
+    if min_level:
+        out = out.where(F.col("level").isin(*LOG_LEVELS[LOG_LEVELS.index(min_level) :]))
+    if prefix:
+        out = out.where(F.col("logger").startswith(prefix))
+    return out.where(F.lower("message").contains(needle.lower())) if needle else out
+
+
 def rehost_by_hash(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     """Fresh segments with the id of the first stored one of equal hash, or null."""
     first = first_per(stored, ["source_hash"], F.col("idx"), F.col("id")).select("source_hash", F.col("id").alias("stored_id"))

@@ -111,6 +111,33 @@ def first_non_empty(df: DataFrame, key: str, order: str, *values: str) -> DataFr
     return df.groupBy(key).agg(*[pick(v) for v in values])
 
 
+def batch_fold(outcomes: DataFrame, failed: Column) -> DataFrame:
+    """outcomes(project_id, flagged, cache_hit, tokens and cost of a call) -> counts by the first that holds of failed, flagged, cached, translated."""
+    o = outcomes.withColumn("_x", failed).withColumn("_f", F.coalesce("flagged", F.lit(False)))
+    ok = ~F.col("_x")
+    return o.groupBy("project_id").agg(
+        F.count_if("_x").alias("failed"), F.count_if(ok & F.col("_f")).alias("flagged"), F.count_if(ok & ~F.col("_f") & F.col("cache_hit")).alias("cached"), F.count_if(ok & ~F.col("_f") & ~F.col("cache_hit")).alias("translated"),
+        zero(F.sum(F.when(ok, F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))))).alias("tokens"), money(F.when(ok, F.col("cost_usd"))).alias("cost"))
+
+
+def dashboard(entries: DataFrame, most: int = 5) -> DataFrame:
+    """(section, key, entries): by status, without a source term, and the types that most entries have."""
+    by = lambda section, c: entries.groupBy(F.lit(section).alias("section"), F.col(c).alias("key")).agg(F.count("*").alias("entries"))
+    only = entries.where("source_term IS NULL").groupBy(F.lit("target only").alias("section"), F.lit("all").alias("key")).agg(F.count("*").alias("entries"))
+    return by("status", "status").unionByName(only).unionByName(by("type", "type").orderBy(F.desc("entries"), "key").limit(most))
+
+
+def series(links: DataFrame, segments: DataFrame, calls: DataFrame) -> DataFrame:
+    """Per attached book, the projects that hold it: how many may write, their segments, spend and progress."""
+    s = segments.groupBy("project_id").agg(F.count("*").alias("segments"), F.count_if(F.col("status") != "pending").alias("translated"), F.count_if(F.col("status") == "approved").alias("approved"))
+    c = calls.groupBy("project_id").agg(F.sum(F.col("cost_usd").cast("decimal(18,8)")).alias("cost"))
+    j = links.join(s, "project_id", "left").join(c, "project_id", "left")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    return j.groupBy("lore_id").agg(
+        F.count("*").alias("projects"), F.count_if(F.col("mode") == "writable").alias("writable"), total("segments").alias("segments"), total("translated").alias("translated"), total("approved").alias("approved"),
+        money(F.col("cost")).alias("spend"), F.round(F.when(total("segments") == 0, 0.0).otherwise(100.0 * F.sum("translated") / F.sum("segments")), 4).alias("percent"))
+
+
 def next_numbers(held: DataFrame, fresh: DataFrame, key: str, number: str, *order: Column) -> DataFrame:
     """Numbers for new rows after the largest held one of their key (from 0 where there is none)."""
     top = held.groupBy(key).agg(F.max(number).alias("_top"))

@@ -8,6 +8,7 @@ from quillmill.functions import text
 from quillmill.operators import rollups
 from quillmill.plans.registry import query
 from quillmill.plans.views import Tables, sql
+from quillmill.sources import reports
 
 _LEDGER = """count(*) AS calls, CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS completion_tokens,
     CAST(round(coalesce(sum(CAST(cost_usd AS DECIMAL(18,8))), 0), 4) AS DOUBLE) AS cost_usd, count_if(cache_hit) AS cache_hits"""
@@ -97,14 +98,13 @@ def a15(t: Tables) -> DataFrame:
     return t.event.groupBy("kind").agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("a16_batch_fold", sql("calls", """
-    SELECT project_id, count_if(prompt_tokens IS NULL) AS failed, count_if(prompt_tokens IS NOT NULL AND cache_hit) AS cached, count_if(prompt_tokens IS NOT NULL AND NOT cache_hit) AS translated,
-           CAST(coalesce(sum(prompt_tokens), 0) + coalesce(sum(completion_tokens), 0) AS BIGINT) AS tokens FROM calls GROUP BY 1"""))
+@query("a16_batch_fold", sql("seg calls", """
+    , o AS (SELECT c.*, prompt_tokens IS NULL AS failed, coalesce(s.status = 'flagged', false) AS flag FROM calls c LEFT JOIN seg s ON s.id = c.segment_id)
+    SELECT project_id, count_if(failed) AS failed, count_if(NOT failed AND flag) AS flagged, count_if(NOT failed AND NOT flag AND cache_hit) AS cached, count_if(NOT failed AND NOT flag AND NOT cache_hit) AS translated,
+           CAST(coalesce(sum(prompt_tokens + coalesce(completion_tokens, 0)) FILTER (NOT failed), 0) AS BIGINT) AS tokens, CAST(round(coalesce(sum(CAST(cost_usd AS DECIMAL(18,8))) FILTER (NOT failed), 0), 4) AS DOUBLE) AS cost FROM o GROUP BY 1"""))
 def a16(t: Tables) -> DataFrame:
-    failed = F.col("prompt_tokens").isNull()
-    return t.call.groupBy("project_id").agg(
-        F.count_if(failed).alias("failed"), F.count_if(~failed & F.col("cache_hit")).alias("cached"), F.count_if(~failed & ~F.col("cache_hit")).alias("translated"),
-        (rollups.zero(F.sum("prompt_tokens")) + rollups.zero(F.sum("completion_tokens"))).alias("tokens"))
+    """Failed before flagged before cached before translated; failed calls count no tokens and no cost."""
+    return rollups.batch_fold(t.call.join(t.segment.select(F.col("id").alias("segment_id"), (F.col("status") == "flagged").alias("flagged")), "segment_id", "left"), F.col("prompt_tokens").isNull())
 
 
 @query("a17_a18_first_non_empty", sql("gloss", """
@@ -127,6 +127,25 @@ def s06(t: Tables) -> DataFrame:
     return rollups.next_numbers(c, c.select("id", "project_id", "spine_idx"), "project_id", "spine_idx", F.col("spine_idx"), F.col("id")).select("id", "project_id", "new_spine_idx")
 
 
-@query("a21_s24_report_levels", sql("event", "SELECT project_id, count_if(kind = 'error') AS errors, count_if(kind = 'click') AS warnings FROM event GROUP BY 1"))
+_REPORT = """
+    WITH lines AS (SELECT project_id, CASE spine_idx % 5 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'warning' WHEN 2 THEN 'USAGE' WHEN 3 THEN 'odd' ELSE 'FATAL' END || '(RSC-00' || (spine_idx % 9) || '): ' || href || '(' || (spine_idx + 1) || ',7): ' || coalesce(title, 'no title') AS line FROM chapter),
+    p AS (SELECT project_id, regexp_extract(line, '^([A-Za-z]+)\\(([^)]*)\\): (.*?)\\((-?[0-9]+),(-?[0-9]+)\\): (.*)$', ['level', 'code', 'path', 'row', 'col', 'message']) AS x FROM lines),
+    m AS (SELECT project_id, CASE WHEN upper(x.level) IN ('FATAL', 'ERROR', 'WARNING', 'USAGE', 'INFO') THEN upper(x.level) ELSE 'INFO' END AS level, x.code AS code, x.path AS path, CAST(x.row AS INTEGER) AS line, x.message AS message FROM p)
+"""
+
+
+def _report_lines(t: Tables) -> DataFrame:
+    k = F.col("spine_idx") % 5
+    level = F.when(k == 0, "ERROR").when(k == 1, "warning").when(k == 2, "USAGE").when(k == 3, "odd").otherwise("FATAL")
+    n = lambda c: c.cast("string")
+    return t.chapter.select("project_id", F.concat(level, F.lit("(RSC-00"), n(F.col("spine_idx") % 9), F.lit("): "), "href", F.lit("("), n(F.col("spine_idx") + 1), F.lit(",7): "), F.coalesce("title", F.lit("no title"))).alias("line"))
+
+
+@query("s24_report_messages", _REPORT + "SELECT * FROM m")
+def s24(t: Tables) -> DataFrame:
+    return reports.messages(_report_lines(t), "project_id")
+
+
+@query("a21_s24_report_levels", _REPORT + "SELECT project_id, count_if(level IN ('FATAL', 'ERROR')) AS errors, count_if(level = 'WARNING') AS warnings, CASE WHEN bool_or(level IN ('FATAL', 'ERROR', 'WARNING')) THEN 'failed' ELSE 'passed' END AS status FROM m GROUP BY 1")
 def a21(t: Tables) -> DataFrame:
-    return t.event.groupBy("project_id").agg(F.count_if(F.col("kind") == "error").alias("errors"), F.count_if(F.col("kind") == "click").alias("warnings"))
+    return reports.summary(reports.messages(_report_lines(t), "project_id"), "project_id")

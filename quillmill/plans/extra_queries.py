@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillmill.operators import calls, matching, ordered, reads
+from quillmill.functions import terms
 from quillmill.plans.registry import query
 from quillmill.plans.views import Tables, sql
 from quillmill.sources import epub_sink, skeleton, xhtml
@@ -121,3 +122,11 @@ def l10(t: Tables) -> DataFrame:
     cut = ordered.greedy_chunks(rows.select("id", "chapter_id", "idx", F.length("text").alias("n")), "chapter_id", ["idx", "id"], F.col("n"), 6000, 2)
     j = cut.select("id", "chunk").join(rows, "id").select(F.col("chapter_id").alias("project_id"), "chunk", F.struct("idx", "id").alias("position"), "text")
     return calls.chunk_prompts(j).select(F.col("project_id").alias("chapter_id"), "chunk", "paragraphs", F.length("prompt").alias("chars"))
+
+
+@query("g24_style_guides", """
+    SELECT id, coalesce(nullif(trim(CASE WHEN context_max_segments > 0 THEN '  ' || name || ' ' WHEN context_max_chars > 0 THEN ' ' END), ''), CASE target_lang WHEN 'de' THEN 'Sie, not du.' WHEN 'fr' THEN 'Vous, not tu.' END) AS style FROM project""")
+def g24(t: Tables) -> DataFrame:
+    """Own text before the preset named, before none."""
+    custom = F.when(F.col("context_max_segments") > 0, F.concat(F.lit("  "), "name", F.lit(" "))).when(F.col("context_max_chars") > 0, F.lit(" "))
+    return t.project.select("id", terms.style_guide(custom, F.col("target_lang"), {"de": "Sie, not du.", "fr": "Vous, not tu."}).alias("style"))

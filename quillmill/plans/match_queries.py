@@ -37,9 +37,18 @@ def j06b(t: Tables) -> DataFrame:
     return _mentions(t).select("segment_id", "entry_id").distinct()
 
 
-@query("a11_a30_j02_mention_counts", sql("seg gloss alias", _TERMS + " SELECT entry_id, count(*) AS segments FROM sh GROUP BY 1"))
+# DuckDB has no look-around: every sign between words is doubled, so that neighbouring hits do not share one.
+_COUNTED = _TERMS + r"""
+    , f AS (SELECT DISTINCT sh.segment_id, sh.entry_id, st.term FROM sh JOIN st ON st.entry_id = sh.entry_id JOIN seg s ON s.id = sh.segment_id WHERE contains(s.source_text, st.term)),
+    a AS (SELECT segment_id, entry_id, string_agg(regexp_escape(regexp_replace(term, '([^\p{L}\p{N}_])', '\1\1', 'g')), '|' ORDER BY length(term) DESC, term) AS forms FROM f GROUP BY 1, 2),
+    c AS (SELECT a.entry_id, a.segment_id, len(regexp_extract_all(regexp_replace(s.source_text, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])(?:' || forms || ')(?:$|[^\p{L}\p{N}_])')) AS n FROM a JOIN seg s ON s.id = a.segment_id)
+    SELECT entry_id, CAST(sum(n) AS BIGINT) AS mentions, count(*) AS segments FROM c GROUP BY 1
+"""
+
+
+@query("a11_a30_j02_mention_counts", sql("seg gloss alias", _COUNTED))
 def a11(t: Tables) -> DataFrame:
-    return matching.mention_counts(_mentions(t)).select("entry_id", "segments")
+    return matching.mention_counts(_mentions(t)).select("entry_id", "mentions", "segments")
 
 
 @query("j03_o02_occurrences")

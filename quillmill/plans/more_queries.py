@@ -35,14 +35,19 @@ def a22(t: Tables) -> DataFrame:
     return t.segment.groupBy("chapter_id").agg(F.count_if(s == "flagged").alias("flagged_skipped"), F.count_if(s == "pending").alias("pending_skipped"), F.count_if((s == "translated") & (F.col("target_text") != "")).alias("approved"))
 
 
-@query("a28_digest", sql("seg gloss", """
-    , s AS (SELECT project_id, count_if(status = 'flagged') AS flagged, count_if(status = 'pending') AS pending FROM seg GROUP BY 1), g AS (SELECT project_id, count_if(status = 'proposed') AS proposed FROM gloss GROUP BY 1)
-    SELECT p.id AS project_id, coalesce(flagged, 0) AS flagged, coalesce(pending, 0) AS pending, coalesce(proposed, 0) AS proposed FROM project p LEFT JOIN s ON s.project_id = p.id LEFT JOIN g ON g.project_id = p.id"""))
+@query("a28_digest", sql("seg gloss calls", """
+    , s AS (SELECT project_id, count_if(status = 'flagged') AS flagged, count(*) - count_if(status <> 'pending') AS pending FROM seg GROUP BY 1), g AS (SELECT project_id, count_if(status = 'proposed') AS proposed FROM gloss GROUP BY 1),
+    a AS (SELECT project_id, count(*) AS alerts FROM calls WHERE prompt_tokens IS NULL GROUP BY 1)
+    SELECT p.id AS project_id, coalesce(flagged, 0) AS flagged, coalesce(pending, 0) AS pending, coalesce(proposed, 0) AS proposed, coalesce(alerts, 0) AS alerts
+    FROM project p LEFT JOIN s ON s.project_id = p.id LEFT JOIN g ON g.project_id = p.id LEFT JOIN a ON a.project_id = p.id"""))
 def a28(t: Tables) -> DataFrame:
-    s = t.segment.groupBy("project_id").agg(F.count_if(F.col("status") == "flagged").alias("flagged"), F.count_if(F.col("status") == "pending").alias("pending"))
+    """What waits in each project; failed calls are its alerts."""
+    s = t.segment.groupBy("project_id").agg(F.count_if(F.col("status") == "flagged").alias("flagged"), (F.count("*") - F.count_if(F.col("status") != "pending")).alias("pending"))
     g = t.glossary.groupBy("project_id").agg(F.count_if(F.col("status") == "proposed").alias("proposed"))
+    a = t.call.where("prompt_tokens IS NULL").groupBy("project_id").agg(F.count("*").alias("alerts"))
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return t.project.select(F.col("id").alias("project_id")).join(s, "project_id", "left").join(g, "project_id", "left").select("project_id", z("flagged"), z("pending"), z("proposed"))
+    out = t.project.select(F.col("id").alias("project_id")).join(s, "project_id", "left").join(g, "project_id", "left").join(a, "project_id", "left")
+    return out.select("project_id", *[z(c) for c in ("flagged", "pending", "proposed", "alerts")])
 
 
 @query("a29_run_durations", sql("calls", "SELECT project_id, purpose, greatest(0, max(created_at) - min(created_at)) AS seconds FROM calls GROUP BY 1, 2"))
@@ -84,14 +89,12 @@ def w02(t: Tables) -> DataFrame:
 
 
 @query("u04_new_entry_mentions", sql("seg gloss alias", _TERMS + """
-    , fresh AS (SELECT DISTINCT sh.segment_id, sh.entry_id FROM sh JOIN gloss g ON g.id = sh.entry_id WHERE g.status = 'proposed'), own AS (SELECT DISTINCT sh.segment_id, sh.entry_id FROM sh JOIN gloss g ON g.id = sh.entry_id WHERE g.status <> 'proposed')
-    SELECT segment_id, entry_id, 'own' AS origin FROM own UNION SELECT segment_id, entry_id, 'new' FROM fresh"""))
+    , m AS (SELECT sh.segment_id, sh.entry_id, CASE WHEN g.status = 'proposed' THEN 'new' ELSE 'own' END AS origin, true AS has_span FROM sh JOIN gloss g ON g.id = sh.entry_id)
+    SELECT * FROM m UNION ALL SELECT first_seen_segment_id, id, 'new', false FROM gloss WHERE status = 'proposed' AND first_seen_segment_id IS NOT NULL AND (first_seen_segment_id, id) NOT IN (SELECT segment_id, entry_id FROM m)"""))
 def u04(t: Tables) -> DataFrame:
-    """Mentions of held entries and first mentions of proposed ones, without repeats."""
-    g, a = t.glossary, t.alias
-    m = matching.mentions(matching.source_texts(t.segment), matching.entry_terms(g, a, "source"))
-    tagged = m.join(g.select(F.col("id").alias("entry_id"), F.when(F.col("status") == "proposed", "new").otherwise("own").alias("origin")), "entry_id")
-    return tagged.groupBy("segment_id", "entry_id", "origin").agg(F.min("span_start").alias("span_start")).select("segment_id", "entry_id", "origin")
+    """Mentions of held entries and of proposed ones; a proposal that its first segment does not hold as written is mentioned there without a span."""
+    found = matching.with_first_seen(matching.mentions(matching.source_texts(t.segment), matching.entry_terms(t.glossary, t.alias, "source")), t.glossary)
+    return found.groupBy("segment_id", "entry_id", "origin").agg(F.bool_or(F.col("span_start").isNotNull()).alias("has_span"))
 
 
 @query("z01_derived_entries", sql("gloss", """

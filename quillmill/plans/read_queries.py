@@ -108,6 +108,20 @@ def f24(t: Tables) -> DataFrame:
     return reads.log_filter(t.event, NOW, "today").where(F.col("kind").startswith("p")).select("id", "kind", "ts")
 
 
+LOGS_SQL = "log AS (SELECT id, project_id, created_at AS ts, CASE WHEN prompt_tokens IS NULL THEN 'ERROR' WHEN cache_hit THEN 'DEBUG' ELSE 'INFO' END AS level, 'llm.' || model AS logger, upper(purpose) || ' of ' || coalesce(segment_id, 'none') AS message FROM calls)"
+
+
+def _logs(t: Tables) -> DataFrame:
+    """The ledger as log records of the model clients."""
+    level = F.when(F.col("prompt_tokens").isNull(), "ERROR").when(F.col("cache_hit"), "DEBUG").otherwise("INFO")
+    return t.call.select("id", "project_id", F.col("created_at").alias("ts"), level.alias("level"), F.concat(F.lit("llm."), "model").alias("logger"), F.concat(F.upper("purpose"), F.lit(" of "), F.coalesce("segment_id", F.lit("none"))).alias("message"))
+
+
+@query("f24_log_records", sql("calls", f", {LOGS_SQL} SELECT id, level, logger FROM log WHERE level IN ('INFO', 'ERROR') AND starts_with(logger, 'llm.a') AND contains(lower(message), 'translate of')"))
+def f24r(t: Tables) -> DataFrame:
+    return reads.log_records(_logs(t), "INFO", "llm.a", "Translate OF").select("id", "level", "logger")
+
+
 @query("f25_chapter_range", "SELECT id, position FROM (SELECT id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY spine_idx, id) AS INTEGER) AS position FROM chapter) WHERE position BETWEEN 2 AND 4")
 def f25(t: Tables) -> DataFrame:
     return reads.chapter_range(t.chapter, "2-4").select("id", "position")
@@ -143,20 +157,6 @@ def j10(t: Tables) -> DataFrame:
     return reads.backfill(t.chapter, t.chapter, "href", "title").select("id", "href", "title")
 
 
-@query("j11_series_rollup", sql("seg calls", """
-    , s AS (SELECT project_id, count(*) AS segments, count_if(status <> 'pending') AS translated, count_if(status = 'approved') AS approved FROM seg GROUP BY 1),
-    c AS (SELECT project_id, sum(CAST(cost_usd AS DECIMAL(18,8))) AS cost FROM calls GROUP BY 1)
-    SELECT p.source_lang, p.target_lang, count(*) AS projects, CAST(coalesce(sum(segments), 0) AS BIGINT) AS segments, CAST(coalesce(sum(translated), 0) AS BIGINT) AS translated,
-           CAST(coalesce(sum(approved), 0) AS BIGINT) AS approved, CAST(round(coalesce(sum(cost), 0), 4) AS DOUBLE) AS spend
-    FROM project p LEFT JOIN s ON s.project_id = p.id LEFT JOIN c ON c.project_id = p.id GROUP BY 1, 2"""))
-def j11(t: Tables) -> DataFrame:
-    s = t.segment.groupBy("project_id").agg(F.count("*").alias("segments"), F.count_if(F.col("status") != "pending").alias("translated"), F.count_if(F.col("status") == "approved").alias("approved"))
-    c = t.call.groupBy("project_id").agg(F.sum(F.col("cost_usd").cast("decimal(18,8)")).alias("cost"))
-    p = t.project.select(F.col("id").alias("project_id"), "source_lang", "target_lang").join(s, "project_id", "left").join(c, "project_id", "left")
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return p.groupBy("source_lang", "target_lang").agg(F.count("*").alias("projects"), zero("segments"), zero("translated"), zero("approved"), rollups.money(F.col("cost")).alias("spend"))
-
-
 _PAIR = """
     , a AS (SELECT source_term, type, min(target_term) AS target_term, min(gender) AS gender FROM gloss WHERE source_term IS NOT NULL AND status = 'proposed' GROUP BY 1, 2),
     b AS (SELECT source_term, type, min(target_term) AS target_term, min(gender) AS gender FROM gloss WHERE source_term IS NOT NULL AND status <> 'proposed' GROUP BY 1, 2)
@@ -213,9 +213,11 @@ def o10(t: Tables) -> DataFrame:
     return setops.newest(t.project, "id", "created_at", 25).select("id", "name", "created_at")
 
 
-@query("o11_a13_top_types", sql("gloss", "SELECT type, count(*) AS entries FROM gloss GROUP BY 1 ORDER BY entries DESC, type LIMIT 5"))
+@query("o11_a13_dashboard", sql("gloss", """
+    SELECT 'status' AS section, status AS key, count(*) AS entries FROM gloss GROUP BY ALL UNION ALL SELECT 'target only', 'all', count(*) FROM gloss WHERE source_term IS NULL HAVING count(*) > 0
+    UNION ALL SELECT * FROM (SELECT 'type', type, count(*) AS n FROM gloss GROUP BY ALL ORDER BY n DESC, type LIMIT 5)"""))
 def o11(t: Tables) -> DataFrame:
-    return t.glossary.groupBy("type").agg(F.count("*").alias("entries")).orderBy(F.desc("entries"), "type").limit(5)
+    return rollups.dashboard(t.glossary)
 
 
 @query("o12_series_order", "SELECT id, name, created_at FROM project ORDER BY created_at DESC, lower(name), id")
@@ -231,13 +233,15 @@ def u01(t: Tables) -> DataFrame:
     return setops.inbox(t.segment, t.glossary, t.event.where(F.col("kind").isin("error", "purchase")))
 
 
-@query("u02_o13_timeline", sql("event calls", """
-    , c AS (SELECT id, project_id, created_at FROM calls ORDER BY created_at DESC, id DESC LIMIT 500)
-    SELECT 'event' AS origin, CAST(id AS VARCHAR) AS id, project_id, ts FROM event UNION ALL SELECT 'call', id, project_id, created_at FROM c"""))
+@query("u02_o13_timeline", sql("event calls", f"""
+    , c AS (SELECT id, project_id, created_at FROM calls ORDER BY created_at DESC, id DESC LIMIT 500), {LOGS_SQL}
+    SELECT 'event' AS origin, CAST(id AS VARCHAR) AS id, project_id, ts FROM event UNION ALL SELECT 'call', id, project_id, created_at FROM c UNION ALL SELECT 'log', id, project_id, ts FROM log WHERE level = 'ERROR'"""))
 def u02(t: Tables) -> DataFrame:
+    """Events, warnings of the log, and the last 500 calls in one line of time."""
     calls = t.call.select("id", "project_id", "created_at").orderBy(F.desc("created_at"), F.desc("id")).limit(500)
+    logs = reads.log_records(_logs(t), "WARNING")
     return t.event.select(F.lit("event").alias("origin"), F.col("id").cast("string").alias("id"), "project_id", "ts").unionByName(
-        calls.select(F.lit("call").alias("origin"), "id", "project_id", F.col("created_at").alias("ts")))
+        calls.select(F.lit("call").alias("origin"), "id", "project_id", F.col("created_at").alias("ts"))).unionByName(logs.select(F.lit("log").alias("origin"), "id", "project_id", "ts"))
 
 
 @query("u03_attached_view", sql("gloss", """

@@ -130,9 +130,13 @@ def h01(t: Tables) -> DataFrame:
     return t.segment.select("id", F.sha2("source_text", 256).alias("hash"), (F.sha2("source_text", 256) == F.col("source_hash")).alias("stored"))
 
 
-@query("h02_h03_call_keys", sql("seg", "SELECT id, substring(sha256('m:' || sha256(project_id) || ':' || sha256(source_text) || ':' || repeat('0', 32)), 1, 32) AS key FROM seg"))
+@query("h02_h03_call_keys", sql("seg", """
+    SELECT id, substring(sha256('m:' || sha256(project_id) || ':' || sha256(source_text) || ':' || repeat('0', 32)), 1, 32) AS key,
+           sha256('be brief' || chr(1) || project_id) AS system_hash, sha256('user' || chr(0) || source_text || chr(1) || 'assistant' || chr(0) || coalesce(target_text, '')) AS rest_hash FROM seg"""))
 def h03(t: Tables) -> DataFrame:
-    return t.segment.select("id", terms.call_key(F.lit("m"), F.col("project_id"), F.col("source_text"), F.lit("0" * 32)).alias("key"))
+    roles = F.array(F.lit("system"), F.lit("user"), F.lit("system"), F.lit("assistant"))
+    h = terms.message_hashes(roles, F.array(F.lit("be brief"), F.col("source_text"), F.col("project_id"), F.coalesce("target_text", F.lit(""))))
+    return t.segment.select("id", terms.call_key(F.lit("m"), F.col("project_id"), F.col("source_text"), F.lit("0" * 32)).alias("key"), h["system"].alias("system_hash"), h["rest"].alias("rest_hash"))
 
 
 def _particles_sql(lang: str) -> str:

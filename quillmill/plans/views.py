@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillmill.runtime import cut_lineage
+
 
 class Tables:
     """Tables of one directory by name, and the views derived from them."""
@@ -15,8 +17,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _once(self, name: str) -> DataFrame:
-        """Repeated ids hold equal content, so any of their rows is the record."""
-        return self.raw(name).dropDuplicates(["id"])
+        """Repeated ids hold equal content, so any of their rows is the record; written once a session for the files as they are."""
+        raw = self.raw(name)
+        held = self.spark.sparkContext.__dict__.setdefault("_quillmill_once", {})
+        key = tuple(sorted(raw.inputFiles()))
+        if key not in held:
+            held[key] = cut_lineage(raw.dropDuplicates(["id"]))
+        return held[key]
 
     @property
     def project(self) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quillmill.operators import dml, matching, resolution, writes
+from quillmill.operators import resolution, rollups, writes
 from quillmill.plans.dml_queries import NOW
 from quillmill.plans.match_queries import _EDGES, _GROUPS, _TERMS, _canon_sql, _mentions
 from quillmill.plans.registry import query
 from quillmill.plans.scalar_queries import _FLAT, _STRIP, _lead_sql
-from quillmill.plans.views import Tables, sql
+from quillmill.plans.views import CTES, Tables, sql
 
 # ---------------------------------------------------------------- E06
 
@@ -205,3 +205,14 @@ def z19(t: Tables) -> DataFrame:
     p = t.project
     back = p.select(F.concat("name", F.lit(" (back)")).alias("name"), F.lit("lore").alias("kind"), F.col("target_lang").alias("source_lang"), F.col("source_lang").alias("target_lang"), "source_path")
     return writes.create_projects(p, back, NOW)[0].select("id", "name", "kind", "source_path", "created_at")
+
+
+@query("j11_a14_series_rollup", _LINKS.replace("WITH n AS", f"WITH seg AS ({CTES['seg']}), calls AS ({CTES['calls']}), n AS", 1) + """
+    , att AS (SELECT h.project_id, h.lore_id, coalesce(a.mode, h.mode) AS mode FROM held h LEFT JOIN asked a ON a.project_id = h.project_id AND a.lore_id = h.lore_id UNION ALL SELECT project_id, lore_id, mode FROM new),
+    s AS (SELECT project_id, count(*) AS segments, count_if(status <> 'pending') AS translated, count_if(status = 'approved') AS approved FROM seg GROUP BY 1),
+    c AS (SELECT project_id, sum(CAST(cost_usd AS DECIMAL(18,8))) AS cost FROM calls GROUP BY 1)
+    SELECT lore_id, count(*) AS projects, count_if(mode = 'writable') AS writable, CAST(coalesce(sum(segments), 0) AS BIGINT) AS segments, CAST(coalesce(sum(translated), 0) AS BIGINT) AS translated, CAST(coalesce(sum(approved), 0) AS BIGINT) AS approved,
+           CAST(round(coalesce(sum(cost), 0), 4) AS DOUBLE) AS spend, round(CASE WHEN coalesce(sum(segments), 0) = 0 THEN 0 ELSE 100.0 * sum(translated) / sum(segments) END, 4) AS percent
+    FROM att LEFT JOIN s USING (project_id) LEFT JOIN c USING (project_id) GROUP BY 1""")
+def j11(t: Tables) -> DataFrame:
+    return rollups.series(writes.attach(*_linked(t), NOW)[0], t.segment, t.call)
