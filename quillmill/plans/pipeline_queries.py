@@ -49,7 +49,9 @@ class ScriptedSingle:
         said = json.loads(prompt)["user"]
         if len(said) % 11 == 0:
             raise RuntimeError("no answer")
-        return json.dumps({"target": f"<{re.sub(r'[[][[]/?T[0-9]+[]][]]', '', said) if len(said) % 13 == 0 else said}>"}, ensure_ascii=False)
+        if len(said) % 13 == 0:
+            said = re.sub(_PH, "", said)
+        return json.dumps({"target": f"<{said}>"}, ensure_ascii=False)
 
 
 _RUN = _TERMS + rf"""
