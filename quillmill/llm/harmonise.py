@@ -32,6 +32,8 @@ from quillmill.runtime import cut_lineage
 
 #: Rows of one class of equal-looking texts that are joined in one block.
 BLOCK_ROWS = 2000
+#: At most so many candidate words are broadcast; beyond, words are counted first and joined by a shuffle.
+BROADCAST_WORDS = 200_000
 
 
 REPAIRED = "table_name string, id string, raw string, form string, context string, most string, odd array<string>"
@@ -66,13 +68,15 @@ def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _is_plain(text: Column) -> Column:
-    return ~text.rlike(textnorm.JAVA_UNPLAIN) & (text.rlike(textnorm.JAVA_SURELY_LATIN) | ~text.rlike(textnorm.JAVA_LATIN))
+    blanks = text.contains("  ") | text.startswith(" ") | text.endswith(" ")
+    return ~blanks & ~text.rlike(textnorm.JAVA_UNPLAIN) & (text.rlike(textnorm.JAVA_SURELY_LATIN) | ~text.rlike(textnorm.JAVA_LATIN))
 
 
-def _usual_script(plain: DataFrame, rest: DataFrame) -> str:
+def _usual_script(rows: DataFrame, rest: DataFrame) -> str:
     """The script of most texts, for texts whose letters tell none: by surely written texts, else by all. A few rows reach the driver."""
     counts = rest.groupBy("context", "most").count().collect()
-    sure = {"latin": plain.where(F.col("form").rlike(textnorm.JAVA_SURELY_LATIN)).count()}
+    surely = F.col("raw").rlike(textnorm.JAVA_SURELY_LATIN)
+    sure = {"latin": rows.where(surely).count() - rest.where(surely).count()}  # the plain rows are all others
     any_ = {}
     for r in counts:
         if r["context"]:
@@ -88,7 +92,10 @@ def _decided(odd: DataFrame, words: DataFrame) -> DataFrame:
     tokens = odd.select("context", F.explode("odd").alias("token")).distinct()
     candidates = cut_lineage(tokens.mapInPandas(_candidates, "token string, context string, rank int, candidate string, mixed boolean"))
     wanted = candidates.select(F.col("candidate").alias("word")).distinct()
-    counts = words.groupBy("word", "context").agg(F.count("*").alias("n")).join(wanted, "word", "left_semi")
+    if wanted.count() <= BROADCAST_WORDS:
+        counts = words.join(F.broadcast(wanted), "word", "left_semi").groupBy("word", "context").agg(F.count("*").alias("n"))
+    else:
+        counts = words.groupBy("word", "context").agg(F.count("*").alias("n")).join(wanted, "word", "left_semi")
     vocabulary = cut_lineage(counts.select(F.col("word").alias("candidate"), F.col("context").alias("seen_in"), "n"))
     everywhere = vocabulary.groupBy("candidate").agg(F.sum("n").alias("n"))
     here = vocabulary.select("candidate", F.col("seen_in").alias("context"), F.col("n").alias("n_here"))
@@ -109,7 +116,7 @@ def harmonise(rows: DataFrame) -> DataFrame:
     rows = rows.select(F.col("table_name").cast("string"), F.col("id").cast("string"), F.col("raw").cast("string"))
     plain = rows.where(_is_plain(F.col("raw"))).withColumn("form", F.col("raw"))
     rest = cut_lineage(rows.where(F.coalesce(~_is_plain(F.col("raw")), F.lit(True))).mapInPandas(_repair, REPAIRED))
-    usual = _usual_script(plain, rest)
+    usual = _usual_script(rows, rest)
     rest = rest.withColumn("context", F.coalesce("context", F.lit(usual))).drop("most")
     odd = rest.where(F.size("odd") > 0)
     split = F.explode(F.regexp_extract_all("form", F.lit(textnorm.JAVA_TOKEN), 1)).alias("word")

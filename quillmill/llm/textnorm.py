@@ -33,7 +33,7 @@ FOREIGN = re.compile("[\u0370-\u058f\u13a0-\u13fd\u1f00-\u1fff]")
 #: What a text needing no repair of characters never has, and Latin letters that no other script shows.
 JAVA_UNPLAIN = (
     "[^\\x20-\\x7E\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u00FF\\u2014\\u3001\\u3002\\u3005\\u300C\\u300D"
-    "\\u3041-\\u3096\\u30A1-\\u30FA\\u30FC\\u4E00-\\u9FFF]|  |^ | $"
+    "\\u3041-\\u3096\\u30A1-\\u30FA\\u30FC\\u4E00-\\u9FFF]"
 )
 JAVA_LATIN = "[A-Za-z]"
 JAVA_SURELY_LATIN = "[" + "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if c not in SHARED["latin"]) + "]"
