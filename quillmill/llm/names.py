@@ -29,7 +29,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillmill.llm import textnorm
 from quillmill.operators.graph import components
@@ -300,48 +300,46 @@ PARSED = (
 SHORT_NAME = 4
 
 
-def _variants(core: str) -> list[str]:
-    return [core, *sorted(_deletes(core))] if len(core) >= SHORT_NAME else [core]
-
-
 KEY = ["k1", "k2"]
 STRONG, NEAR, OWNER, SEEKER = 0, 1, 2, 3
 #: What share of the identities that own a form an entry's link must rest on.
 MIN_RARITY = 1.0
 #: At most so many split forms (two numbers and two flags each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_FORMS = 100_000
-FORMS = "nid long, project_id string, form string, role int, lead string, mark string, middle string"
+def _left_out(word: Column) -> Column:
+    """The word, and where it is no short name the word with each one letter left out."""
+    gaps = F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.concat(F.substring(word, F.lit(1), k - 1), F.substring(word, k + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= SHORT_NAME, gaps).otherwise(F.array().cast("array<string>"))))
 
 
-def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Strong forms name the entity in full, near ones with a letter left out.
+def _forms(parsed: DataFrame) -> DataFrame:
+    """(nid, project_id, form, role, lead, mark, middle): all rewritings of every entry, written out by expressions.
 
-    Owner and seeker forms hold the name alone; `lead` is the given name of an owner, and what a seeker has of one: an
-    initial, a short form or nothing.
+    Strong forms name the entity in full, near ones with a letter left out. Owner and seeker forms hold the name alone;
+    `lead` is the given name of an owner, and what a seeker has of one: an initial, a short form or nothing.
     """
-    for pdf in batches:
-        rows: set[tuple] = set()
-        for r in pdf.itertuples(index=False):
-            who = (r.nid, r.project_id)
-            given = sorted(set(r.given))
-            if r.kind != "character":
-                for c in r.cores:
-                    rows.update((*who, f"{r.kind}|{r.what}|{r.ord}|{v}", STRONG if v == c else NEAR, "") for v in _variants(c))
-                    rows.add((*who, f"{r.kind}|?|{r.ord}|{c}", OWNER if r.what else SEEKER, ""))
-                continue
-            for c in r.cores:
-                near = _variants(c)
-                for g in given:
-                    rows.update((*who, f"p|{r.epi}|{g}|{v}", STRONG if v == c else NEAR, "") for v in near)
-                    if len(g) >= SHORT_NAME:
-                        rows.update((*who, f"p|{r.epi}|{d}~|{c}", NEAR, "") for d in (g, *_deletes(g)))
-                if given:
-                    rows.update((*who, f"n|{e}|{v}", OWNER, g) for e in {r.epi or "*", "*"} for v in near for g in given)
-                else:
-                    leads = [*r.short, *r.initials] or [""]
-                    rows.update((*who, f"n|{r.epi or '*'}|{v}", SEEKER, lead) for v in near for lead in leads)
-        out = pd.DataFrame(list(rows), columns=["nid", "project_id", "form", "role", "lead"])
-        yield out.merge(pdf[["nid", "mark", "middle"]], on="nid", how="left")
+    c, g, v, e = F.col("core"), F.col("g"), F.col("v"), F.col("e")
+    base = parsed.select("nid", "project_id", "kind", "what", "ord", "epi", "mark", "middle", "given", "short", "initials", F.explode("cores").alias("core"))
+    bar = lambda *parts: F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    role = F.when(v == c, STRONG).otherwise(NEAR)
+    put = lambda df, form, how, lead="": df.select("nid", "project_id", form.alias("form"), (how if isinstance(how, Column) else F.lit(how)).cast("int").alias("role"), (lead if isinstance(lead, Column) else F.lit(lead)).alias("lead"), "mark", "middle")
+    spelled = base.withColumn("v", F.explode(_left_out(c)))
+    other, person = F.col("kind") != "character", F.col("kind") == "character"
+    named = person & (F.size("given") > 0)
+    told = F.array_distinct(F.concat("short", "initials"))
+    who = F.coalesce(F.nullif("epi", F.lit("")), F.lit("*"))
+    parts_ = [
+        put(spelled.where(other), bar(F.col("kind"), F.col("what"), F.col("ord"), v), role),
+        put(base.where(other), bar(F.col("kind"), "?", F.col("ord"), c), F.when(F.col("what") != "", OWNER).otherwise(SEEKER)),
+        put(spelled.where(named).withColumn("g", F.explode("given")), bar("p", F.col("epi"), g, v), role),
+        put(base.where(named).withColumn("g", F.explode("given")).where(F.length("g") >= SHORT_NAME).withColumn("v", F.explode(_left_out(g))), bar("p", F.col("epi"), F.concat(v, F.lit("~")), c), NEAR),
+        put(spelled.where(named).withColumn("g", F.explode("given")).withColumn("e", F.explode(F.array_distinct(F.array(who, F.lit("*"))))), bar("n", e, v), OWNER, g),
+        put(spelled.where(person & (F.size("given") == 0)).withColumn("g", F.explode(F.when(F.size(told) > 0, told).otherwise(F.array(F.lit(""))))), bar("n", who, v), SEEKER, g),
+    ]
+    out = parts_[0]
+    for p in parts_[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _keyed(forms: DataFrame) -> DataFrame:
@@ -353,9 +351,10 @@ def _keyed(forms: DataFrame) -> DataFrame:
         .agg((F.min("mark") != F.max("mark")).alias("by_mark"), (F.min("middle") != F.max("middle")).alias("by_middle")).where("by_mark OR by_middle")
     )
     split = F.when(F.col("role") <= NEAR, F.struct(F.when(F.col("by_mark"), F.coalesce("mark", F.lit(""))).alias("a"), F.when(F.col("by_middle"), F.coalesce("middle", F.lit(""))).alias("b")))
-    apart = F.broadcast(apart) if apart.count() <= BROADCAST_FORMS else apart
-    return keyed.join(apart, KEY, "left").select(
+    few = apart.count() <= BROADCAST_FORMS
+    out = keyed.join(F.broadcast(apart) if few else apart, KEY, "left").select(
         *[F.when((F.col("role") <= NEAR) & (F.col("by_mark") | F.col("by_middle")), F.xxhash64(k, split)).otherwise(F.col(k)).alias(k) for k in KEY], "nid", "role", "lead", "mark")
+    return out if few else cut_lineage(out)
 
 
 def distinct_spellings(entries: DataFrame) -> DataFrame:
@@ -450,7 +449,7 @@ def _resolve(entries: DataFrame, nickname: DataFrame) -> tuple[DataFrame, DataFr
     spellings = cut_lineage(distinct_spellings(entries))
     # numbers stand for ids from here on; they are written with the rows, so they hold
     parsed = cut_lineage(_with_nicknames(cut_lineage(parse_spellings(spellings)), nickname).withColumn("nid", F.monotonically_increasing_id()))
-    forms = cut_lineage(_keyed(parsed.mapInPandas(_forms, FORMS)))
+    forms = _keyed(_forms(parsed))
     strong = forms.where(F.col("role") == STRONG)
     reps = strong.groupBy(*KEY).agg(F.min("nid").alias("rep"), F.count("*").alias("n")).where("n > 1")
     same = _scored(strong.join(reps, KEY).where("nid <> rep").select(F.col("nid").alias("a"), F.col("rep").alias("b"), F.lit(1).alias("owners")).distinct(), "full")
