@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
-LEAF = 8192
+LEAF = 1024
 # Fixed value: the pattern of the byte-level vocabularies of 50,256 ranks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
