@@ -39,10 +39,11 @@ def entry_terms(entries: DataFrame, aliases: DataFrame, side: str) -> DataFrame:
 
 
 def anchored(terms: DataFrame) -> DataFrame:
-    """Adds the longest word of each term (ties: the first in code point order)."""
+    """Adds the longest word of each term (ties: the first in code point order); of a term without any, its first sign."""
     words = F.regexp_extract_all("term", F.lit(f"({WORD})"), 1)
     best = F.reduce(words, F.lit(""), lambda a, w: F.when((F.length(w) > F.length(a)) | ((F.length(w) == F.length(a)) & (w < a)), w).otherwise(a))
-    return terms.withColumn("anchor", best).where("anchor <> ''")
+    sign = F.coalesce(F.nullif(F.regexp_extract("term", r"(\S)", 1), F.lit("")), F.substring("term", 1, 1))
+    return terms.withColumn("anchor", F.when(best != "", best).otherwise(sign)).where("term <> ''")
 
 
 MENTION = "segment_id string, entry_id string, term string, span_start int, span_end int"
@@ -50,7 +51,10 @@ MENTION = "segment_id string, entry_id string, term string, span_start int, span
 
 def mentions(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """texts(segment_id, project_id, text), terms(project_id, entry_id, term) -> all hits with their spans."""
-    words = texts.where("text IS NOT NULL").select("segment_id", "project_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1))).alias("anchor"))
+    # signs are looked up only where some term has no word at all
+    wordless = terms.where(~F.col("term").rlike(WORD)).limit(1).count() > 0
+    token = rf"({WORD}|[^\p{{L}}\p{{N}}_])" if wordless else f"({WORD})"
+    words = texts.where("text IS NOT NULL").select("segment_id", "project_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(token), 1))).alias("anchor"))
     hits = words.join(anchored(terms), ["project_id", "anchor"]).groupBy("segment_id", "entry_id").agg(F.collect_set("term").alias("forms"))
     cand = texts.select("segment_id", "text").join(hits, "segment_id")
 

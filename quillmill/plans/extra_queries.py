@@ -113,7 +113,13 @@ def l14(t: Tables) -> DataFrame:
     return out.select("id", "project_id", F.col("spent").cast("double").alias("spent"), "submitted")
 
 
-@query("l09_l10_target_chunks")
+@query("l09_l10_target_chunks", sql("seg", r"""
+    , t AS (SELECT chapter_id, id, idx, trim(regexp_replace(regexp_replace(target_text, '\[\[/?T\d+\]\]', '', 'g'), '[ \t]+', ' ', 'g'), ' ') AS text FROM seg WHERE length(target_text) > 0),
+    s AS (SELECT *, length(text) AS n, row_number() OVER (PARTITION BY chapter_id ORDER BY idx, id) AS r FROM t),
+    f AS (SELECT chapter_id, r, n AS total, 0 AS chunk FROM s WHERE r = 1
+          UNION ALL SELECT s.chapter_id, s.r, CASE WHEN f.total > 0 AND f.total + 2 + s.n > 6000 THEN s.n ELSE f.total + s.n + CASE WHEN f.total > 0 THEN 2 ELSE 0 END END,
+                 CASE WHEN f.total > 0 AND f.total + 2 + s.n > 6000 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN s ON s.chapter_id = f.chapter_id AND s.r = f.r + 1)
+    SELECT s.chapter_id, CAST(chunk AS INTEGER) AS chunk, count(*) AS paragraphs, CAST(length(string_agg(text, chr(10) || chr(10) ORDER BY s.r)) AS INTEGER) AS chars FROM s JOIN f ON f.chapter_id = s.chapter_id AND f.r = s.r GROUP BY 1, 2"""))
 def l10(t: Tables) -> DataFrame:
     """Prompts over the target editions: paragraphs without marks, in chunks of at most 6,000 characters per chapter."""
     from quillmill.functions import text

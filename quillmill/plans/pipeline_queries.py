@@ -116,7 +116,11 @@ def g17(t: Tables) -> DataFrame:
     return calls.glossary_hash(t.glossary)
 
 
-@query("l08_l12_chunk_prompts")
+@query("l08_l12_chunk_prompts", sql("book", """
+    , s AS (SELECT project_id, id, spine_idx, idx, source_text, greatest(1, length(source_text) // 4) AS n, row_number() OVER (PARTITION BY project_id ORDER BY spine_idx, idx, id) AS r FROM book WHERE length(source_text) > 0),
+    f AS (SELECT project_id, r, n AS total, 0 AS chunk FROM s WHERE r = 1
+          UNION ALL SELECT s.project_id, s.r, CASE WHEN f.total + s.n > 1500 THEN s.n ELSE f.total + s.n END, CASE WHEN f.total + s.n > 1500 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN s ON s.project_id = f.project_id AND s.r = f.r + 1)
+    SELECT s.project_id, CAST(chunk AS INTEGER) AS chunk, count(*) AS paragraphs, sha256(string_agg(source_text, chr(10) || chr(10) ORDER BY s.r)) AS prompt_hash FROM s JOIN f ON f.project_id = s.project_id AND f.r = s.r GROUP BY 1, 2"""))
 def l12(t: Tables) -> DataFrame:
     """W03 chunks of every book as prompts."""
     from quillmill.operators import ordered, reads

@@ -112,6 +112,13 @@ def test_chunks_runs_breaker_and_sample(spark):
     assert [(r["k"], r["total"]) for r in cut.collect()] == [(2, 11)]
 
 
+def test_terms_without_a_word_are_found(spark):
+    texts = spark.createDataFrame([("s", "p", "a — b …x… — c"), ("t", "p", "a—b"), ("u", "q", "—")], "segment_id string, project_id string, text string")
+    terms = spark.createDataFrame([("p", "e", "—"), ("p", "f", "…"), ("p", "g", " — "), ("p", "h", "b"), ("p", "i", "")], "project_id string, entry_id string, term string")
+    got = {(r["segment_id"], r["entry_id"], r["span_start"], r["span_end"]) for r in matching.mentions(texts, terms).collect()}
+    assert got == {("s", "e", 2, 3), ("s", "e", 10, 11), ("s", "h", 4, 5), ("t", "h", 2, 3)} | {("s", "g", a, b) for _, a, b in matching.find_all("a — b …x… — c", [" — "])}
+
+
 def test_ordered_folds_across_slices_equal_plain_loops(spark):
     """Keys that span many slices: chunks, totals, numbers, runs and breakers against loops over the rows in order."""
     rng = random.Random(21)
