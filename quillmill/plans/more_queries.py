@@ -78,7 +78,9 @@ def g21(t: Tables) -> DataFrame:
     return r.select("id", F.trim(F.coalesce("r.source", "r.source_term")).alias("source"), kind.alias("type"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("r.confidence"))).alias("confidence"))
 
 
-@query("w02_context_blocks")
+@query("w02_context_blocks", sql("seg", """
+    , l AS (SELECT id, chapter_id, idx, '- ' || CASE WHEN trim(source_text, ' ') = '' THEN '(empty)' ELSE source_text END || ' => ' || CASE WHEN coalesce(trim(target_text, ' '), '') = '' THEN '(not yet translated)' ELSE target_text END AS line FROM seg)
+    SELECT id, coalesce(string_agg(line, chr(10)) OVER (PARTITION BY chapter_id ORDER BY idx, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context FROM l"""))
 def w02(t: Tables) -> DataFrame:
     """The context of each segment as text: source and target of up to three segments back, blanks named."""
     s = t.segment.select("id", "chapter_id", "idx", "source_text", "target_text")

@@ -111,7 +111,10 @@ def l12p(t: Tables) -> DataFrame:
     return pipeline.prompts(live, pipeline.constraints(live, t.glossary, t.alias), t.glossary, t.project, "m").select("id", "system")
 
 
-@query("g17_glossary_hash")
+@query("g17_glossary_hash", sql("gloss", """
+    , h AS (SELECT project_id, sha256(CAST(to_json({s: coalesce(source_term, ''), t: target_term, y: type, u: status, g: coalesce(gender, ''), source_known: source_known}) AS VARCHAR)) AS h FROM gloss),
+    g AS (SELECT project_id, left(h, 4) || sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY project_id, left(h, 4))
+    SELECT project_id, left(sha256(string_agg(h, '' ORDER BY h)), 32) AS glossary_hash FROM g GROUP BY 1"""))
 def g17(t: Tables) -> DataFrame:
     return calls.glossary_hash(t.glossary)
 
