@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmill.runtime import cut_lineage
+from quillmill.runtime import cut_lineage, still_there
 
 
 class Tables:
@@ -21,7 +21,7 @@ class Tables:
         raw = self.raw(name)
         held = self.spark.sparkContext.__dict__.setdefault("_quillmill_once", {})
         key = tuple(sorted(raw.inputFiles()))
-        if key not in held:
+        if key not in held or not still_there(held[key]):
             held[key] = cut_lineage(raw.dropDuplicates(["id"]))
         return held[key]
 

@@ -48,6 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether the files that a table was read from still exist."""
+    sc = df.sparkSession.sparkContext
+    where = [sc._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()[:1]]
+    return all(w.getFileSystem(sc._jsc.hadoopConfiguration()).exists(w) for w in where)
+
+
 def latest_by_id(df: DataFrame, key: str = "id", order: str = "loaded_at") -> DataFrame:
     """One row per key: the one loaded last (null times come first). Ties are equal in content, so any of them will do."""
     if order not in df.columns:
