@@ -52,6 +52,21 @@ def left_out(text: str, most: int = DISTANCE) -> set[str]:
     return out
 
 
+def _asked(tail: str) -> set[tuple[int, int, str]]:
+    """(length, part, text) under which a tail looks for stored ones that are not longer.
+
+    Of two tails within DISTANCE edits some part i stands whole, with at most i edits before it and DISTANCE - i behind: it
+    is moved by no more than i, and counted from the end by no more than DISTANCE - i.
+    """
+    n = len(tail)
+    out = set()
+    for m in range(max(WHOLE_PARTS, n - DISTANCE), n + 1):
+        for i, (a, size) in enumerate(parts(m)):
+            low, high = max(0, a - i, a + n - m - (DISTANCE - i)), min(n - size, a + i, a + n - m + DISTANCE - i)
+            out.update((m, i, tail[p : p + size]) for p in range(low, high + 1))
+    return out
+
+
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows: list[tuple] = []
@@ -69,8 +84,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows += [(scope, key, head, 0, -2, t, True, True) for t in left_out(tail)]
             if n >= WHOLE_PARTS:
                 rows += [(scope, key, head, n, i, tail[a : a + size], True, False) for i, (a, size) in enumerate(parts(n))]
-                asked = {(m, i, tail[p : p + size]) for m in range(max(WHOLE_PARTS, n - DISTANCE), n + 1) for i, (a, size) in enumerate(parts(m)) for p in range(max(0, a - DISTANCE), min(n - size, a + DISTANCE) + 1)}
-                rows += [(scope, key, head, m, i, piece, False, True) for m, i, piece in asked]
+                rows += [(scope, key, head, m, i, piece, False, True) for m, i, piece in _asked(tail)]
         yield pd.DataFrame(rows, columns=["scope", "key", "head", "len", "part", "piece", "stored", "asks"])
 
 
