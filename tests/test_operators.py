@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from quillmill.operators import calls, dml, graph, matching, ordered, reads, resolution, rollups, setops
+from quillmill.operators import calls, dml, graph, matching, ordered, reads, resolution, rollups, setops, term_scan
 from quillmill.sources import epub, glossary_json, skeleton, xhtml
 from quillmill.streaming import events
 
@@ -33,6 +33,35 @@ def test_matching_equals_regular_expressions(spark):
     assert got == sorted(want)
 
 
+def test_terms_of_many_entries_are_shuffled_once(spark):
+    """J06 grows with the tables: 60 entries of one form in 300 texts are 18,000 hits, of which none is shuffled."""
+    texts = spark.createDataFrame([(f"s{k:03d}", "p", f"the bridge {k}") for k in range(300)], "segment_id string, project_id string, text string")
+    terms = spark.createDataFrame([("p", f"e{k:02d}", "the bridge") for k in range(60)], "project_id string, entry_id string, term string")
+    found = matching.mentions(texts, terms)
+    assert found.count() == found.distinct().count() == 18_000
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "MapInArrow" and "Aggregate [segment_id" not in plan.toString()
+
+
+def test_spans_without_patterns_equal_the_pattern():
+    rng = random.Random(8)
+    signs = ["a", "b", "é", "—", " ", ".", "_", "1", "鍵", "²", "́"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(signs, k=rng.randint(0, 14)))
+        forms = tuple(sorted({"".join(rng.choices(signs, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 4))}, key=lambda t: (-len(t), t)))
+        assert term_scan.spans(text, forms) == [(a, b) for _, a, b in matching.find_all(text, list(forms))]
+
+
+def test_a_project_of_many_texts_is_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(term_scan, "SLICE_TEXTS", 7)
+    monkeypatch.setattr(term_scan, "BATCH_ROWS", 5)
+    texts = spark.createDataFrame([(f"s{k}", p, "an oak, the old oak") for p, n in (("p", 100), ("q", 3), (None, 5)) for k in range(n)], "segment_id string, project_id string, text string")
+    terms = spark.createDataFrame([(p, f"{p}{k}", t) for p in ("p", "q", "r") for k, t in enumerate(["oak", "old oak", "oak", "elm"])], "project_id string, entry_id string, term string")
+    spots = {0: ("oak", [(3, 6), (16, 19)]), 1: ("old oak", [(12, 19)]), 2: ("oak", [(3, 6), (16, 19)])}
+    want = sorted((f"s{k}", f"{p}{e}", t, a, b) for p, n in (("p", 100), ("q", 3)) for k in range(n) for e, (t, ab) in spots.items() for a, b in ab)
+    assert sorted(map(tuple, matching.mentions(texts, terms).collect())) == want
+
+
 def test_missing_targets_and_cascade(spark):
     seg = spark.createDataFrame([("a", "p", "Olm saw Rask.", "Olm vio a Rask.", "translated"), ("b", "p", "Olm left.", "Se fue.", "approved"), ("c", "p", "Olm.", None, "pending"), ("d", "p", "Nothing.", "Olmo nada.", "translated")], "id string, project_id string, source_text string, target_text string, status string")
     ent = spark.createDataFrame([("o", "p", "Olm", "Olm", "locked", True), ("r", "p", "Rask", "Raske", "confirmed", True), ("n", "p", "Nothing", "Nada", "proposed", True)], "id string, project_id string, source_term string, target_term string, status string, source_known boolean")
