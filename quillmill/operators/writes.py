@@ -83,6 +83,12 @@ class Merged:
     revisions: DataFrame
 
 
+def pointed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of losers, by entry_id, as rows of their winner."""
+    moved = groups.where("id <> winner").select(F.col("id").alias("entry_id"), "winner")
+    return rows.join(moved, "entry_id", "left").withColumn("entry_id", F.coalesce("winner", "entry_id")).drop("winner").select(*rows.columns)
+
+
 def merge(entries: DataFrame, aliases: DataFrame, mentions: DataFrame, groups: DataFrame, now: int, reason: str = "merge") -> Merged:
     """groups(id, winner): losers go; their spellings and aliases become aliases of the winner, less its own terms; their mentions point to it.
 
@@ -96,8 +102,7 @@ def merge(entries: DataFrame, aliases: DataFrame, mentions: DataFrame, groups: D
     j = left.join(took, "id", "left")
     after = j.select(*[(F.when(F.col("_took"), F.lit(now)).otherwise(F.col(c)).cast("long") if c == "updated_at" else F.col(c)).alias(c) for c in entries.columns])
     revisions = j.where("_took").select(F.col("id").alias("entry_id"), F.col("target_term").alias("prev_target_term"), F.col("target_term").alias("new_target_term"), F.lit(reason).alias("reason"), F.lit(now).cast("long").alias("created_at"))
-    pointed = mentions.join(moved, "entry_id", "left").withColumn("entry_id", F.coalesce("winner", "entry_id")).drop("winner").select(*mentions.columns)
-    return Merged(after, names, pointed, revisions)
+    return Merged(after, names, pointed(mentions, groups), revisions)
 
 
 def attach(links: DataFrame, requests: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:

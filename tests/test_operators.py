@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from quillmill.operators import calls, dml, graph, matching, ordered, reads, resolution, rollups, setops, term_scan
+from quillmill.operators import calls, dml, graph, matching, ordered, reads, resolution, rollups, setops, term_scan, writes
 from quillmill.sources import epub, glossary_json, skeleton, xhtml
 from quillmill.streaming import events
 
@@ -81,6 +81,24 @@ def test_new_entry_mentions_equal_the_joins_and_shuffle_no_pair(spark):
     assert "Aggregate [segment_id" not in plan_of(got)
 
 
+def oaks(spark):
+    """Texts and terms: `a` and `b` read alike, `c` has two forms, `d` stands nowhere."""
+    texts = spark.createDataFrame([("s1", "p", "the oak, an oak"), ("s2", "p", "elm and fir"), ("s3", "p", "the fir"), ("s4", "q", "oak"), ("s5", "p", None)], "segment_id string, project_id string, text string")
+    terms = spark.createDataFrame([("p", "a", "oak"), ("p", "b", "oak"), ("p", "c", "elm"), ("p", "c", "fir"), ("p", "d", "ash")], "project_id string, entry_id string, term string")
+    return texts, terms
+
+
+def test_segments_of_merged_entries_are_counted_without_their_pairs(spark):
+    texts, terms = oaks(spark)
+    groups = spark.createDataFrame([("a", "a"), ("c", "a")], "id string, winner string")
+    moved = writes.pointed(terms, groups).distinct()
+    found = writes.pointed(matching.mentions(texts, terms).select("segment_id", "entry_id"), groups)
+    want = found.groupBy("entry_id").agg(F.countDistinct("segment_id").alias("segments"))
+    got = matching.segment_counts(texts, moved)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("a", 3), ("b", 1)]
+    assert "segment_id" not in plan_of(got).split("MapInArrow")[0]
+
+
 def test_missing_targets_and_cascade(spark):
     seg = spark.createDataFrame([("a", "p", "Olm saw Rask.", "Olm vio a Rask.", "translated"), ("b", "p", "Olm left.", "Se fue.", "approved"), ("c", "p", "Olm.", None, "pending"), ("d", "p", "Nothing.", "Olmo nada.", "translated")], "id string, project_id string, source_text string, target_text string, status string")
     ent = spark.createDataFrame([("o", "p", "Olm", "Olm", "locked", True), ("r", "p", "Rask", "Raske", "confirmed", True), ("n", "p", "Nothing", "Nada", "proposed", True)], "id string, project_id string, source_term string, target_term string, status string, source_known boolean")
