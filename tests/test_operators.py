@@ -13,6 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quillmill.operators import calls, dml, graph, matching, ordered, reads, resolution, rollups, setops, term_scan, writes
+from quillmill.plans import extra_queries, match_queries, registry, views
 from quillmill.sources import epub, glossary_json, skeleton, xhtml
 from quillmill.streaming import events
 
@@ -99,6 +100,15 @@ def test_segments_of_merged_entries_are_counted_without_their_pairs(spark):
     assert "segment_id" not in plan_of(got).split("MapInArrow")[0]
 
 
+def test_pairs_are_distinct_without_a_shuffle(spark):
+    texts, terms = oaks(spark)
+    got = matching.pairs(texts, terms)
+    assert sorted(map(tuple, got.collect())) == [("s1", "a"), ("s1", "b"), ("s2", "c"), ("s3", "c")]
+    assert plan_of(got).startswith("MapInArrow")
+    tables = views.Tables(spark, "/root/testdata/sf0.001")
+    assert plan_of(match_queries.g03(tables)).startswith("MapInArrow")
+
+
 def test_missing_targets_and_cascade(spark):
     seg = spark.createDataFrame([("a", "p", "Olm saw Rask.", "Olm vio a Rask.", "translated"), ("b", "p", "Olm left.", "Se fue.", "approved"), ("c", "p", "Olm.", None, "pending"), ("d", "p", "Nothing.", "Olmo nada.", "translated")], "id string, project_id string, source_text string, target_text string, status string")
     ent = spark.createDataFrame([("o", "p", "Olm", "Olm", "locked", True), ("r", "p", "Rask", "Raske", "confirmed", True), ("n", "p", "Nothing", "Nada", "proposed", True)], "id string, project_id string, source_term string, target_term string, status string, source_known boolean")
