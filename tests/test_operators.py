@@ -109,6 +109,16 @@ def test_pairs_are_distinct_without_a_shuffle(spark):
     assert plan_of(match_queries.g03(tables)).startswith("MapInArrow")
 
 
+def test_missing_targets_shuffle_no_pair(spark):
+    """Both sides of a segment meet both sides of an entry in one place; only what is missing is written."""
+    seg = spark.createDataFrame([("a", "p", "oak elm", "roble", "x"), ("b", "p", "oak", "x the-elm", "x"), ("c", "p", "oak", None, "x"), ("d", "q", "oak", "", "x")], "id string, project_id string, source_text string, target_text string, status string")
+    ent = spark.createDataFrame([("o", "p", "oak", "roble", "locked", True), ("o2", "p", "oak", "roble", "locked", True), ("u", "p", "oak", "olmo", "locked", False), ("e", "p", "elm", None, "confirmed", True), ("q", "q", "oak", "oak", "locked", None)], "id string, project_id string, source_term string, target_term string, status string, source_known boolean")
+    alias = spark.createDataFrame([("u", "target", "the-elm")], "entry_id string, side string, text string")
+    got = matching.missing_targets(seg, ent, alias)
+    assert sorted(map(tuple, got.collect())) == [("a", "e", "warning"), ("a", "u", "warning"), ("b", "o", "error"), ("b", "o2", "error"), ("d", "q", "warning")]
+    assert plan_of(got).startswith("MapInArrow")
+
+
 def test_missing_targets_and_cascade(spark):
     seg = spark.createDataFrame([("a", "p", "Olm saw Rask.", "Olm vio a Rask.", "translated"), ("b", "p", "Olm left.", "Se fue.", "approved"), ("c", "p", "Olm.", None, "pending"), ("d", "p", "Nothing.", "Olmo nada.", "translated")], "id string, project_id string, source_text string, target_text string, status string")
     ent = spark.createDataFrame([("o", "p", "Olm", "Olm", "locked", True), ("r", "p", "Rask", "Raske", "confirmed", True), ("n", "p", "Nothing", "Nada", "proposed", True)], "id string, project_id string, source_term string, target_term string, status string, source_known boolean")
