@@ -128,6 +128,11 @@ def test_occurrences_are_shuffled_only_to_be_sorted(spark):
     assert rows == sorted(rows, key=lambda r: (r["entry_id"], r["spine_idx"], r["idx"], r["span_start"])) and len(rows) == registry.QUERIES["j06_g02_mentions"](spark, "/root/testdata/sf0.001").count()
 
 
+def test_unmentioned_entries_shuffle_no_segment(spark):
+    found = match_queries.j08(views.Tables(spark, "/root/testdata/sf0.001"))
+    assert found.count() > 0 and "segment_id" not in plan_of(found).split("MapInArrow")[0]
+
+
 def test_missing_targets_and_cascade(spark):
     seg = spark.createDataFrame([("a", "p", "Olm saw Rask.", "Olm vio a Rask.", "translated"), ("b", "p", "Olm left.", "Se fue.", "approved"), ("c", "p", "Olm.", None, "pending"), ("d", "p", "Nothing.", "Olmo nada.", "translated")], "id string, project_id string, source_text string, target_text string, status string")
     ent = spark.createDataFrame([("o", "p", "Olm", "Olm", "locked", True), ("r", "p", "Rask", "Raske", "confirmed", True), ("n", "p", "Nothing", "Nada", "proposed", True)], "id string, project_id string, source_term string, target_term string, status string, source_known boolean")
