@@ -61,8 +61,7 @@ def g26(t: Tables) -> DataFrame:
 @query("o09_w15_match_order")
 def o09(t: Tables) -> DataFrame:
     """Mentions of each segment numbered by (start, end, entry)."""
-    m = matching.mentions(matching.source_texts(t.segment), matching.entry_terms(t.glossary, t.alias, "source"))
-    return m.withColumn("place", F.row_number().over(W.partitionBy("segment_id").orderBy("span_start", "span_end", "entry_id", "term")))
+    return matching.placed_mentions(matching.source_texts(t.segment), matching.entry_terms(t.glossary, t.alias, "source"))
 
 
 @query("t06_render_previews")

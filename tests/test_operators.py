@@ -133,6 +133,16 @@ def test_unmentioned_entries_shuffle_no_segment(spark):
     assert found.count() > 0 and "segment_id" not in plan_of(found).split("MapInArrow")[0]
 
 
+def test_places_are_given_without_a_window(spark, monkeypatch):
+    texts, terms = oaks(spark)
+    for most in (1, term_scan.BATCH_ROWS):
+        monkeypatch.setattr(term_scan, "BATCH_ROWS", most)
+        got = matching.placed_mentions(texts.withColumn("text", F.concat("text", F.lit(" fir"))), terms)
+        assert sorted((r["segment_id"], r["place"], r["entry_id"], r["span_start"]) for r in got.collect()) == [
+            ("s1", 1, "a", 4), ("s1", 2, "b", 4), ("s1", 3, "a", 12), ("s1", 4, "b", 12), ("s1", 5, "c", 16), ("s2", 1, "c", 0), ("s2", 2, "c", 8), ("s2", 3, "c", 12), ("s3", 1, "c", 4), ("s3", 2, "c", 8)]
+    assert plan_of(extra_queries.o09(views.Tables(spark, "/root/testdata/sf0.001"))).startswith("MapInArrow")
+
+
 def test_missing_targets_and_cascade(spark):
     seg = spark.createDataFrame([("a", "p", "Olm saw Rask.", "Olm vio a Rask.", "translated"), ("b", "p", "Olm left.", "Se fue.", "approved"), ("c", "p", "Olm.", None, "pending"), ("d", "p", "Nothing.", "Olmo nada.", "translated")], "id string, project_id string, source_text string, target_text string, status string")
     ent = spark.createDataFrame([("o", "p", "Olm", "Olm", "locked", True), ("r", "p", "Rask", "Raske", "confirmed", True), ("n", "p", "Nothing", "Nada", "proposed", True)], "id string, project_id string, source_term string, target_term string, status string, source_known boolean")
