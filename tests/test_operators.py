@@ -143,6 +143,14 @@ def test_places_are_given_without_a_window(spark, monkeypatch):
     assert plan_of(extra_queries.o09(views.Tables(spark, "/root/testdata/sf0.001"))).startswith("MapInArrow")
 
 
+def test_mentions_are_counted_without_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(term_scan, "SLICE_TEXTS", 2)
+    texts, terms = oaks(spark)
+    got = matching.counted_mentions(texts, terms)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, matching.mention_counts(matching.mentions(texts, terms)).collect())) == [("a", 2, 1), ("b", 2, 1), ("c", 3, 2)]
+    assert "segment_id" not in plan_of(match_queries.a11(views.Tables(spark, "/root/testdata/sf0.001"))).split("MapInArrow")[0]
+
+
 def test_missing_targets_and_cascade(spark):
     seg = spark.createDataFrame([("a", "p", "Olm saw Rask.", "Olm vio a Rask.", "translated"), ("b", "p", "Olm left.", "Se fue.", "approved"), ("c", "p", "Olm.", None, "pending"), ("d", "p", "Nothing.", "Olmo nada.", "translated")], "id string, project_id string, source_text string, target_text string, status string")
     ent = spark.createDataFrame([("o", "p", "Olm", "Olm", "locked", True), ("r", "p", "Rask", "Raske", "confirmed", True), ("n", "p", "Nothing", "Nada", "proposed", True)], "id string, project_id string, source_term string, target_term string, status string, source_known boolean")
