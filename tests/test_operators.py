@@ -151,6 +151,15 @@ def test_mentions_are_counted_without_their_rows(spark, monkeypatch):
     assert "segment_id" not in plan_of(match_queries.a11(views.Tables(spark, "/root/testdata/sf0.001"))).split("MapInArrow")[0]
 
 
+def test_flagging_segments_shuffle_no_pair(spark):
+    t = views.Tables(spark, "/root/testdata/sf0.01")
+    lost = matching.missing_targets(t.segment, t.glossary, t.alias)
+    want = lost.groupBy("segment_id").agg(F.bool_or(F.col("severity") == "error").alias("locked_violation"), F.count("*").alias("violations"))
+    got = match_queries.g15(t)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
+    assert plan_of(got).startswith("MapInArrow")
+
+
 def test_missing_targets_and_cascade(spark):
     seg = spark.createDataFrame([("a", "p", "Olm saw Rask.", "Olm vio a Rask.", "translated"), ("b", "p", "Olm left.", "Se fue.", "approved"), ("c", "p", "Olm.", None, "pending"), ("d", "p", "Nothing.", "Olmo nada.", "translated")], "id string, project_id string, source_text string, target_text string, status string")
     ent = spark.createDataFrame([("o", "p", "Olm", "Olm", "locked", True), ("r", "p", "Rask", "Raske", "confirmed", True), ("n", "p", "Nothing", "Nada", "proposed", True)], "id string, project_id string, source_term string, target_term string, status string, source_known boolean")
