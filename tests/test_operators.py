@@ -160,6 +160,11 @@ def test_flagging_segments_shuffle_no_pair(spark):
     assert plan_of(got).startswith("MapInArrow")
 
 
+def test_mentioned_entries_are_distinct_without_a_shuffle(spark):
+    found = match_queries.j06b(views.Tables(spark, "/root/testdata/sf0.001"))
+    assert plan_of(found).startswith("MapInArrow") and found.count() == found.distinct().count() > 0
+
+
 def test_missing_targets_and_cascade(spark):
     seg = spark.createDataFrame([("a", "p", "Olm saw Rask.", "Olm vio a Rask.", "translated"), ("b", "p", "Olm left.", "Se fue.", "approved"), ("c", "p", "Olm.", None, "pending"), ("d", "p", "Nothing.", "Olmo nada.", "translated")], "id string, project_id string, source_text string, target_text string, status string")
     ent = spark.createDataFrame([("o", "p", "Olm", "Olm", "locked", True), ("r", "p", "Rask", "Raske", "confirmed", True), ("n", "p", "Nothing", "Nada", "proposed", True)], "id string, project_id string, source_term string, target_term string, status string, source_known boolean")
